@@ -8,10 +8,10 @@
    them among the rarest (all but MATCHES - 1) of each, so only this prefix is merged.
 3. Stars: each class meets, in each posting list of its prefix, the list's first class. The pair with
    most collisions is confirmed on the full sets.
-4. Lists whose classes are not yet all in one component are merged in full: in tiles of bounded size,
-   and only pairs of different components with MATCHES collisions or more leave a tile; these are
-   confirmed too. So groups of many copies take one link for each copy, and no link is lost that
-   joins two components.
+4. Lists whose classes are not yet all in one component are merged in full, in tiles of bounded size:
+   pairs of different components with MATCHES collisions or more are confirmed too, those of long
+   lists inside the tile, from where only links go on that join two components. So a large group
+   takes one link for each copy, no rows for its pairs, and no link is lost that joins components.
 5. Components come from large-star and small-star steps.
 
 A pair of similarity 0.8 has fewer than MATCHES collisions with a probability of 3e-8.
@@ -33,8 +33,9 @@ COORDINATES, MATCHES = 32, 12
 SHINGLE_WORDS = 4
 #: Links have 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 80
-#: Classes of one posting list that are compared with as many others in one go.
-TILE = 1_024
+#: Classes of one posting list that are compared with as many others in one go, and the length of lists
+#: whose pairs are passed on; those of longer ones are confirmed where the list lies.
+TILE, SHORT_LIST = 2_048, 32
 
 _rng = np.random.default_rng(9_176)
 _SLOPE = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -158,47 +159,88 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
         edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), folder, f"{name}-{step}")
 
 
-def _tile_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): pairs of classes of different components with enough collisions, from rows that stand
-    in order of (key, low, high) and hold tile, fp, sig, n, mask and root. A pair that meets in several
-    lists is given by the one of the lowest coordinate."""
+class _List:
+    """The classes of one posting list, or of two tiles of it, that meet here."""
+
+    def __init__(self, group: tuple, held: list):
+        self.key, self.low, self.high = group
+        tile, self.fp, sig, n, mask, root, *self.sets = zip(*held, strict=True)
+        roots = {r: i for i, r in enumerate(dict.fromkeys(root))}
+        self.sigs = np.frombuffer(b"".join(sig), dtype="<u4").reshape(-1, COORDINATES)
+        self.tiles, self.sizes, self.masks = np.array(tile), np.array(n), np.array(mask)
+        self.comps = np.array([roots[r] for r in root])
+
+    def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
+        """For each class those after it that are of another component, of fitting size, and have MATCHES
+        collisions, of which this list's is the lowest that both prefixes hold."""
+        bits, bit = np.int64(1) << np.arange(COORDINATES, dtype=np.int64), np.int64(1) << np.int64(self.key >> 32)
+        alone = self.low == self.high
+        other_tile = np.flatnonzero(self.tiles == self.high)
+        for i in range(len(self.fp)) if alone else np.flatnonzero(self.tiles == self.low):
+            others = np.arange(i + 1, len(self.fp)) if alone else other_tile
+            small, large = np.minimum(self.sizes[others], self.sizes[i]), np.maximum(self.sizes[others], self.sizes[i])
+            others = others[(self.comps[others] != self.comps[i]) & (100 * small >= SIMILARITY * large)]
+            if len(others):
+                same = self.sigs[others] == self.sigs[i]
+                met = (same @ bits) & self.masks[others] & self.masks[i]
+                others = others[(same.sum(axis=1) >= MATCHES) & ((met & -met) == bit)]
+                if len(others):
+                    yield int(i), others
+
+    def pairs(self) -> Iterator[tuple[bytes, bytes]]:
+        for i, others in self.candidates():
+            for j in others.tolist():
+                yield self.fp[i], self.fp[j]
+
+    def links(self) -> Iterator[tuple[bytes, bytes]]:
+        """Confirmed on the full sets, which are counted through an inverted index of the list's own; a
+        link inside what is one component by then isn't given."""
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in self.sets[0]]
+        lengths = np.array([len(x) for x in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        for i, others in self.candidates():
+            others = others[self.comps[others] != self.comps[i]]
+            a, b = np.searchsorted(flat, sets[i], side="left"), np.searchsorted(flat, sets[i], side="right")
+            at = np.repeat(a - np.concatenate(([0], np.cumsum(b - a)[:-1])), b - a) + np.arange(int((b - a).sum()))
+            common = np.bincount(owner[at], minlength=len(sets))[others]
+            for j in others[100 * common >= SIMILARITY * (lengths[i] + lengths[others] - common)].tolist():
+                if self.comps[i] != self.comps[j]:
+                    self.comps[self.comps == self.comps[j]] = self.comps[i]
+                    yield self.fp[i], self.fp[j]
+
+
+def _by_list(rows: DataFrame, confirm: bool) -> DataFrame:
+    """(a, b): candidates of each list, or with ``confirm`` links. Rows hold key, low, high, tile, fp, sig,
+    n, mask, root, and then shingles; a task sees one list after the other and holds one at a time."""
+    names = ["key", "low", "high", "tile", "fp", "sig", "n", "mask", "root", *(["shingles"] if confirm else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        group = None
+        group, held = None, []
+
+        def found() -> list[tuple[bytes, bytes]]:
+            if len(held) < 2:
+                return []
+            own = _List(group, held)
+            return [tuple(sorted(p)) for p in (own.links() if confirm else own.pairs())]
+
+        def frame(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
+
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
             out: list[tuple[bytes, bytes]] = []
-            for row in zip(*columns, strict=True):
-                if row[:3] != group:
-                    out += _compare(group, held)
-                    group, held = row[:3], []
-                held.append(row[3:])
-            yield _pairs(out)
-        yield _pairs(_compare(group, held))
-
-    def _pairs(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
-
-    def _compare(group: tuple | None, held: list) -> list[tuple[bytes, bytes]]:
-        if len(held) < 2:
-            return []
-        key, low, high = group
-        tile, fp, sig, n, mask, root = zip(*held, strict=True)
-        sigs = np.frombuffer(b"".join(sig), dtype="<u4").reshape(-1, COORDINATES)
-        roots = {r: i for i, r in enumerate(set(root))}
-        tiles, sizes, masks, comps = np.array(tile), np.array(n), np.array(mask), np.array([roots[r] for r in root])
-        bits, bit, out = np.int64(1) << np.arange(COORDINATES, dtype=np.int64), np.int64(1) << np.int64(key >> 32), []
-        for i in range(len(held)) if low == high else np.flatnonzero(tiles == low):
-            others = np.arange(i + 1, len(held)) if low == high else np.flatnonzero(tiles == high)
-            others = others[(comps[others] != comps[i]) & (100 * np.minimum(sizes[others], sizes[i]) >= SIMILARITY * np.maximum(sizes[others], sizes[i]))]
-            same = sigs[others] == sigs[i]
-            fits = same.sum(axis=1) >= MATCHES
-            met = (same[fits] @ bits) & masks[others[fits]] & masks[i]
-            out += [tuple(sorted((fp[i], fp[j]))) for j in others[fits][(met & -met) == bit].tolist()]
-        return out
-
-    return rows.select("key", "low", "high", "tile", "fp", "sig", "n", "mask", "root").mapInArrow(run, "a binary, b binary")
+            for a in range(0, batch.num_rows, 1_000):
+                for row in zip(*(c.to_pylist() for c in batch.slice(a, 1_000).columns), strict=True):
+                    if row[:3] != group:
+                        out += found()
+                        group, held = row[:3], []
+                    held.append(row[3:])
+            yield frame(out)
+        yield frame(found())
+
+    spread = rows.repartition(shuffle_partitions(rows.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return spread.select(*names).mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
@@ -243,15 +285,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rooted = members.join(roots, members["fp"] == roots["node"], "left").select("fp", "sig", "n", "mask", "keys", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, folder, "rooted")
-    lists = rooted.select(F.explode("keys").alias("key"), "root").groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-    open_lists = lists.where("low != high").select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    tiled = rooted.select(F.explode("keys").alias("key"), "fp", "sig", "n", "mask", "root").join(open_lists, "key").withColumn("tile", mine)
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
-    ordered = tiled.repartition(shuffle_partitions(spark), "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    late = written(_tile_pairs(ordered).distinct(), folder, "late_pairs")
-    late_links = _confirmed(late, sets)
+    lists = rooted.select(F.explode("keys").alias("key"), "root").groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("first"), F.max("root").alias("last"))
+    lists = lists.where("first != last").select("key", "size", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    lists = written(lists, folder, "open_lists")
+    rows = rooted.select(F.explode("keys").alias("key"), "fp", "sig", "n", "mask", "root")
+    short = rows.join(lists.where(F.col("size") <= SHORT_LIST), "key").select("*", *(F.lit(0).alias(x) for x in ("tile", "low", "high")))
+    late = written(_by_list(short, confirm=False).distinct(), folder, "late_pairs")
+    long = rows.join(lists.where(F.col("size") > SHORT_LIST), "key").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")).join(sets, "fp")
+    long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    long = long.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+    late_links = _confirmed(late, sets).unionByName(_by_list(long, confirm=True))
     roots = components(links.unionByName(late_links), folder, "components")
 
     # only classes of several documents or with links need another id than the document's own

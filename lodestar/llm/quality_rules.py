@@ -116,3 +116,17 @@ def apply_rules(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
     kind = picked.schema[0].dataType.simpleString()
     longs = ", ".join(f"{x} long" for x in names[1:6])
     return picked.mapInArrow(run, f"doc_id {kind}, {longs}, base_failed boolean, probability double, kept boolean")
+
+
+def keep_good(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all their columns as they are, that the rules keep; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in rounds(batch, column):
+                found = [measure(t, model) for t in texts]
+                kept = pa.array([not f[5] and f[6] >= LEAST_PROBABILITY for f in found], pa.bool_())
+                yield batch.slice(at, len(texts)).filter(kept)
+
+    column = docs.columns.index(text_col)
+    return docs.mapInArrow(run, docs.schema)
