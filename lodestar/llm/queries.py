@@ -123,6 +123,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_nbsvm": op10_nbsvm,
 }
-
-#: DuckDB SQL of those queries that SQL can express.
-ORACLES: dict[str, str] = {}
