@@ -73,7 +73,7 @@ class RowRange(InputPartition):
 class VecFileReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.kind = options["path"], options.get("kind") or options["path"].rsplit(".", 1)[-1]
-        self.rows_each = int(options.get("rowsPerPartition", 1_000_000))
+        self.rows_each = int(options.get("rowsperpartition", 1_000_000))
         self.n, self.d = read_shape(self.path, self.kind)
         self.n = min(self.n, int(options.get("rows", self.n)))
 
@@ -108,7 +108,7 @@ class VecFileSource(DataSource):
         return f"id long, vec array<{KINDS[kind][1]}>"
 
     def reader(self, schema) -> VecFileReader:
-        return VecFileReader(dict(self.options))
+        return VecFileReader({k.lower(): v for k, v in self.options.items()})
 
 
 def read_vectors(spark: SparkSession, path: str, kind: str | None = None, **options) -> DataFrame:
