@@ -249,14 +249,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the least doc_id that links reach, the document itself included, and
     ``kept`` says that it is the document's own. A null text or one without words has no shingles
     and no links; equal texts and texts with equal sets are linked; repeated rows get the same
-    result each; a null doc_id has its component's id and isn't kept. An empty table gives no rows.
+    result each; a row with a null doc_id has no links and isn't kept. An empty table gives no rows.
     Other columns aren't read.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     sketches = written(sketch(texts, width), folder, "sketches")
-    filled = sketches.where(F.col("fp").isNotNull())
+    linkable = F.col("fp").isNotNull() & F.col("doc_id").isNotNull()
+    filled = sketches.where(linkable)
     classes = filled.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
     classes = written(classes, folder, "classes")
 
@@ -304,7 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = named.join(ids, "root").select("fp", "component_id")
     own = F.coalesce("component_id", "doc_id")
     linked = filled.select("doc_id", "n_shingles", "fp").join(found, "fp", "left").select("doc_id", "n_shingles", own.alias("component_id"))
-    empty = sketches.where(F.col("fp").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    empty = sketches.where(~linkable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 

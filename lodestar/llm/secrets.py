@@ -122,9 +122,11 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     group = F.filter(_found(text, ASSIGN), lambda r: F.length(F.regexp_extract(r["match"], f"^{ASSIGN}$", 2)) >= ASSIGN_CHARS)
     access = F.filter(_found(text, ACCESS), lambda r: F.length(r["match"]) >= ACCESS_CHARS)
     base = F.concat(_spans(group, "assign"), _spans(access, "access"), _spans(_found(text, HEX), "hex"))
-    with_base = docs.withColumn("secret_spans", base).withColumn("__entropy", _entropy_spans(text))
-    more = F.filter("__entropy", lambda e: ~F.exists("secret_spans", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    return with_base.withColumn("secret_spans", F.array_sort(F.concat("secret_spans", more))).drop("__entropy")
+    # both in one column, so that no name of another can clash
+    found = docs.withColumn("secret_spans", F.struct(base.alias("base"), _entropy_spans(text).alias("runs")))
+    kept, runs = F.col("secret_spans.base"), F.col("secret_spans.runs")
+    more = F.filter(runs, lambda e: ~F.exists(kept, lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
+    return found.withColumn("secret_spans", F.array_sort(F.concat(kept, more)))
 
 
 def span_text(spans: Column) -> Column:
