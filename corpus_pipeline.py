@@ -29,21 +29,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least doc_id of each group; rows of one kept doc_id stay together."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents in which a window of a benchmark item occurs."""
-    hit = find_contamination(docs, table(spark, sf_dir, "benchmark")).where(F.size("spans") > 0).select("doc_id").distinct()
-    return docs.join(written(hit, shared_dir(spark), "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    hit = find_contamination(docs, table(spark, sf_dir, "benchmark")).where(F.size("spans") > 0).select(F.col("doc_id").alias("hit_id")).distinct()
+    hit = written(hit, shared_dir(spark), "contaminated")
+    return docs.join(hit, docs["doc_id"] == hit["hit_id"], "left_anti")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks every span that the scan finds; n_chars follows the text."""
-    masked = secrets.scan_secrets(docs).withColumn("text", secrets.redact(F.col("text"), F.col("secret_spans")))
+    found = secrets.scan_secrets(docs)
+    masked = found.withColumn("text", secrets.redact(F.col("text"), F.col("secret_spans")))
     n_chars = F.when(F.size("secret_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return masked.withColumn("n_chars", n_chars).select(*docs.columns)
+    return masked.withColumn("n_chars", n_chars).drop("secret_spans")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
