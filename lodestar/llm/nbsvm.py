@@ -14,7 +14,7 @@ from lodestar.llm.ngrams import distinct, text_buckets
 
 BITS = 16
 #: Labelled rows that the model is fitted on at most.
-SAMPLE_ROWS = 2_000
+SAMPLE_ROWS = 4_000
 EPOCHS, COST, SMOOTHING = 6, 1.0, 1.0
 #: A text counts as good from this score on.
 LEAST_SCORE = 0.3
