@@ -161,7 +161,7 @@ class VectorIndex:
         return require_k(found, queries, k) if strict else found
 
     def search_until(self, queries: DataFrame, rule: StopRule, k: int) -> DataFrame:
-        return search_graphs(self._ready(), queries, k, self.dim, self.space, rule=lambda: rule)
+        return search_graphs(self._ready(), queries, k, self.dim, self.space, rule=lambda _: rule)
 
     # keeping
     def index_file_size(self) -> int:

@@ -50,3 +50,8 @@ def least_ef(efs: Iterable[int], recall_of: Callable[[int], float], threshold: f
         if (r := recall_of(ef)) >= threshold:
             return ef, r
     return None
+
+
+def write_metrics(rows: DataFrame, path: str) -> None:
+    """A table of figures as CSV with a header; figures are few rows, so they are one file."""
+    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

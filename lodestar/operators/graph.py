@@ -7,13 +7,15 @@ are bounded: ``split_parts`` cuts larger ones, so no group of rows grows with th
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodestar.operators.hnsw import Graph, StopRule
+from lodestar.operators.hnsw import Documents, Graph, StopRule
 from lodestar.operators.kmeans import partition_centroids
 from lodestar.operators.scan import query_blocks, ranked
 
@@ -52,11 +54,12 @@ def graph_of(rows: pd.DataFrame, dim: int, metric: str, **options) -> Graph:
     return Graph.of_rows(rows[["node", "label", "level", "deleted", "entry", "vec", "links"]].itertuples(index=False, name=None), dim, metric=metric, **options)
 
 
-def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, dim: int, metric: str = "ip", ef: int = 100, parts: DataFrame | None = None, where: Column | None = None, rule: Callable[[], StopRule] | None = None, each: int | None = None) -> DataFrame:
+def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, dim: int, metric: str = "ip", ef: int = 100, parts: DataFrame | None = None, where: Column | None = None, rule: Callable[[pd.DataFrame], StopRule] | None = None, each: int | None = None) -> DataFrame:
     """(qid, id, dist, rank): every part's graph is searched for ``each`` (k if none) rows, and the best k are kept.
 
     ``parts(qid, part)`` says which parts a query searches, all if none. ``where`` is a predicate on
-    the nodes' columns; nodes that don't fit are passed through. ``rule`` makes another stop rule.
+    the nodes' columns; nodes that don't fit are passed through. ``rule`` makes another stop rule from a
+    part's nodes, which may have further columns.
     """
     flagged = graphs.withColumn("allowed", F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
 
@@ -68,8 +71,9 @@ def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, dim: int, metri
             if mine:
                 g = graph_of(rows, dim, metric)
                 allowed = None if rows["allowed"].all() else set(rows.loc[rows["allowed"], "label"].tolist())
+                own = None if rule is None else rule(rows)
                 for i in mine:
-                    hits = g.search(q[i], each or k, ef, allowed) if rule is None else g.search_until(q[i], rule(), allowed)
+                    hits = g.search(q[i], each or k, ef, allowed) if own is None else g.search_until(q[i], own, allowed)
                     out += [(int(qids[i]), int(label), float(d)) for d, label in hits]
             return pd.DataFrame(out, columns=["qid", "id", "dist"])
 
@@ -91,6 +95,38 @@ def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, dim: int, metri
     return ranked(found.dropDuplicates(["qid", "id"]), k)
 
 
+def search_cost(graphs: DataFrame, queries: DataFrame, k: int, dim: int, metric: str = "ip", ef: int = 100) -> DataFrame:
+    """(qid, part, hops, distances): nodes expanded and distances computed by each query in each part."""
+
+    def counter(qids: np.ndarray, q: np.ndarray) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            g, out = graph_of(rows, dim, metric), []
+            for i in range(len(q)):
+                g.hops = g.distances = 0
+                g.search(q[i], k, ef)
+                out.append((int(qids[i]), rows["part"].iloc[0], g.hops, g.distances))
+            return pd.DataFrame(out, columns=["qid", "part", "hops", "distances"])
+
+        return run
+
+    blocks = [graphs.groupBy("part").applyInPandas(counter(qids, q), "qid long, part string, hops long, distances long") for qids, q in query_blocks(queries)]
+    return reduce(DataFrame.union, blocks)
+
+
+def documents_rule(num_docs: int, ef: int = 10) -> Callable[[pd.DataFrame], StopRule]:
+    """The stop rule of a search by documents over nodes that have a column ``doc_id``."""
+    return lambda rows: Documents(num_docs, dict(zip(rows["label"], rows["doc_id"], strict=True)), ef)
+
+
+def whole_documents(result: DataFrame, docs: DataFrame, num_docs: int) -> DataFrame:
+    """Cuts merged results of parts: the vectors before the first one of a query's (num_docs + 1)-th document."""
+    rows = result.join(docs.select("id", "doc_id"), "id")
+    first = rows.groupBy("qid", "doc_id").agg(F.min("rank").alias("first"))
+    past = first.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("first"))).where(F.col("place") == num_docs + 1)
+    bounded = rows.join(past.select("qid", F.col("first").alias("bound")), "qid", "left")
+    return bounded.where(F.col("bound").isNull() | (F.col("rank") < F.col("bound"))).drop("bound")
+
+
 def broken_links(graphs: DataFrame) -> DataFrame:
     """(part, node, problem) of every node with a wrong link, in column functions alone."""
     n = F.element_at("links", 1).cast("int")

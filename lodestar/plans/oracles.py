@@ -257,3 +257,4 @@ ORACLES: dict[str, str] = {
     "hnsw_exhaustive_ef": sql(BASE, final=top(all_pairs(IP))),
     "hnsw_integrity": "SELECT ''::VARCHAR AS part, 0::BIGINT AS node, ''::VARCHAR AS problem WHERE false",
 }
+ORACLES |= {"hnsw_filtered": ORACLES["flat_filtered_topk"], "hnsw_epsilon": ORACLES["epsilon_search"], "hnsw_documents": ORACLES["multivector_docs"]}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.operators import evaluate, flat, graph, ivf, kmeans, partition
 from lodestar.operators import product_quantization as pq
 from lodestar.operators import scalar_quantization as sq
+from lodestar.operators.hnsw import Within
 from lodestar.sources.shared import shared_folder
 from lodestar.sources.vecfiles import read_vectors, write_fbin
 
@@ -327,6 +328,38 @@ def hnsw_exhaustive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(graph.search_graphs(_one_part(base, spark), queries, K, DIM, ef=graph.PART_ROWS))
 
 
+def hnsw_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of other labels are passed through; a wide beam finds what exact search finds."""
+    base, queries = _loaded(spark, sf_dir)
+    split = graph.split_parts(base.withColumn("part", F.lit(0)))
+    graphs = graph.build_graphs(split, DIM, "l2")
+    fits = base.select(F.col("id").alias("label"), (F.col("label") < 5).alias("fits"))
+    return _out(graph.search_graphs(graphs.join(fits, "label"), queries, K, DIM, "l2", graph.PART_ROWS, where=F.col("fits")))
+
+
+def hnsw_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The radius search on graphs, going on until as many nodes as a part holds have been found."""
+    base, queries = _loaded(spark, sf_dir)
+    graphs = graph.build_graphs(graph.split_parts(partition.with_part(base, PARTS, "hash")), DIM, "l2")
+    return _out(graph.search_graphs(graphs, queries, 100, DIM, "l2", rule=lambda _: Within(1.2, graph.PART_ROWS, graph.PART_ROWS)))
+
+
+def hnsw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search by documents on graphs, collecting all documents of a part before it stops."""
+    base, queries = _loaded(spark, sf_dir)
+    docs = base.select("id", F.floor(F.col("id") / 5).alias("doc_id"))
+    graphs = graph.build_graphs(graph.split_parts(base.withColumn("part", F.lit(0))), DIM, "l2")
+    graphs = graphs.join(docs.select(F.col("id").alias("label"), "doc_id"), "label")
+    found = graph.search_graphs(graphs, queries, graph.PART_ROWS, DIM, "l2", rule=graph.documents_rule(5, graph.PART_ROWS))
+    rows = graph.whole_documents(found, docs, 5)
+    return rows.select("qid", "doc_id", "id", "rank", F.round("dist", 4).alias("dist"))
+
+
+def hnsw_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, queries = _loaded(spark, sf_dir)
+    return graph.search_cost(_one_part(base, spark), queries, K, DIM)
+
+
 def hnsw_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = graph.broken_links(_one_part(base_of(spark, sf_dir), spark))
     return broken.where("problem != 'no way in'")
@@ -410,6 +443,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "delete_then_search": delete_then_search,
     "upsert_then_search": upsert_then_search,
     "hnsw_exhaustive_ef": hnsw_exhaustive,
+    "hnsw_filtered": hnsw_filtered,
+    "hnsw_epsilon": hnsw_epsilon,
+    "hnsw_documents": hnsw_documents,
+    "hnsw_cost": hnsw_cost,
     "hnsw_integrity": hnsw_integrity,
     "hnsw_knn": hnsw_knn,
     "partition_hnsw": partition_hnsw,
