@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.functions.distance import Distance, distance
-from lodestar.operators.scan import QUERY_BLOCK, Scorer, ranked, search
+from lodestar.operators.scan import QUERY_BLOCK, Scorer, matrix, query_blocks, ranked, search
 
 
 def exact_scorer(metric: str | Distance):
@@ -78,15 +81,57 @@ def epsilon_search(base: DataFrame, queries: DataFrame, epsilon: float, max_cand
     return flat_topk(base, queries, max_candidates, metric).where(F.col("dist") <= epsilon)
 
 
-def document_search(base: DataFrame, queries: DataFrame, num_docs: int, metric: str | Distance = "l2") -> DataFrame:
+def document_search(base: DataFrame, queries: DataFrame, num_docs: int, metric: str | Distance = "l2", block: int = QUERY_BLOCK) -> DataFrame:
     """(qid, doc_id, id, dist, rank): vectors nearest first until ``num_docs`` documents are complete.
 
     ``base(id, doc_id, vec)``. A query's result are the vectors that come before the first vector of
-    its (num_docs + 1)-th document.
+    its (num_docs + 1)-th document. The first scan finds that bound: a partition keeps the first
+    vectors of its ``num_docs + 1`` nearest documents, and the global ones are among these. The
+    second scan returns what lies before it.
     """
-    pairs = base.join(F.broadcast(queries.select("qid", "qvec")), F.lit(True)).select("qid", "doc_id", "id", distance(metric).column(F.col("qvec"), F.col("vec")).alias("dist"))
-    first = pairs.groupBy("qid", "doc_id").agg(F.min(F.struct("dist", "id")).alias("first"))
-    order = Window.partitionBy("qid").orderBy("first")
-    past = first.withColumn("place", F.row_number().over(order)).where(F.col("place") == num_docs + 1).select("qid", F.col("first").alias("bound"))
-    inside = pairs.join(past, "qid", "left").where(F.col("bound").isNull() | (F.struct("dist", "id") < F.col("bound")))
-    return inside.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "id")).cast("long")).drop("bound")
+    measure, keep = distance(metric).matrix, num_docs + 1
+    rows = base.where(F.col("vec").isNotNull()).select("id", "doc_id", "vec")
+    schema, found = "qid long, doc_id long, id long, dist double", None
+    for qids, q in query_blocks(queries, block):
+        firsts = rows.mapInArrow(_document_scan(qids, q, measure, keep, None), schema)
+        first = firsts.groupBy("qid", "doc_id").agg(F.min(F.struct("dist", "id")).alias("first"))
+        place = F.row_number().over(Window.partitionBy("qid").orderBy("first"))
+        bounds = {r["qid"]: tuple(r["first"]) for r in first.withColumn("place", place).where(F.col("place") == keep).collect()}  # one for each query of the block
+        one = rows.mapInArrow(_document_scan(qids, q, measure, keep, bounds), schema)
+        found = one if found is None else found.union(one)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "id")).cast("long"))
+
+
+def _document_scan(qids: np.ndarray, q: np.ndarray, measure, keep: int, bounds: dict | None):
+    """Without bounds the first vectors of the ``keep`` nearest documents of the partition, else all before the bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def frame(parts: list[tuple]) -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0)] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) if len(c) else pa.array([], k) for c, k in zip(columns, kinds, strict=True)], names=["qid", "doc_id", "id", "dist"])
+
+        best: dict[int, tuple] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, docs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            out = []
+            for i, dist in enumerate(measure(q, matrix(batch.column(2)).astype(np.float64))):
+                if bounds is not None:
+                    limit, label = bounds.get(int(qids[i]), (np.inf, 0))
+                    at = np.flatnonzero((dist < limit) | ((dist == limit) & (ids < label)))
+                    out.append((np.full(len(at), qids[i]), docs[at], ids[at], dist[at]))
+                    continue
+                held = best.get(i)
+                d, x, c = (dist, ids, docs) if held is None else (np.concatenate(p) for p in zip(held, (dist, ids, docs), strict=True))
+                order = np.lexsort((x, d))
+                _, first = np.unique(c[order], return_index=True)
+                order = order[np.sort(first)[:keep]]
+                best[i] = d[order], x[order], c[order]
+            if bounds is not None:
+                yield frame(out)
+        if bounds is None:
+            yield frame([(np.full(len(d), qids[i]), c, x, d) for i, (d, x, c) in best.items()])
+
+    return run

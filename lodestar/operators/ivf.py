@@ -132,10 +132,21 @@ def union_rows(index: InvertedLists, probes: DataFrame) -> DataFrame:
     return index.assigned.join(probes.select("cid").distinct(), "cid", "left_semi")
 
 
-def union_search(index: InvertedLists, queries: DataFrame, probes: DataFrame, k: int, metric: str = "ip") -> DataFrame:
-    """The search of ``ivf_search`` by scoring the union of probed lists and masking invalid pairs."""
-    n = queries.limit(QUERY_BLOCK + 1).count()
-    small = queries.select("qid", "qvec")
-    rows = union_rows(index, probes).join(F.broadcast(small) if n <= QUERY_BLOCK else small, F.lit(True))
-    dist = rows.select("qid", "id", "cid", distance(metric).column(F.col("qvec"), F.col("vec")).alias("dist"))
-    return ranked(dist.join(probes.select("qid", "cid"), ["qid", "cid"], "left_semi").select("qid", "id", "dist"), k)
+def union_search(index: InvertedLists, queries: DataFrame, probes: DataFrame, k: int, metric: str = "ip", block: int = QUERY_BLOCK) -> DataFrame:
+    """The search of ``ivf_search`` by scoring the union of a block's probed lists and masking invalid pairs."""
+    measure = distance(metric).matrix
+    found = None
+    for qids, q in query_blocks(queries, block):
+        lists = _probed(probes, qids)
+        valid = np.zeros((len(qids), index.nlist), dtype=bool)
+        for c, own in lists.items():
+            valid[own, c] = True
+
+        def score(columns: dict[str, np.ndarray], q=q, valid=valid):
+            dist = measure(q, columns["vec"].astype(np.float64))
+            yield np.arange(len(q)), np.arange(dist.shape[1]), np.where(valid[:, columns["cid"]], dist, np.inf)
+
+        rows = index.assigned.where(F.col("cid").isin(sorted(lists))).select("id", "vec", "cid")
+        part = scan_block(rows, ["vec"], qids, k, score).where(F.col("dist") < float("inf"))
+        found = part if found is None else found.union(part)
+    return ranked(found, k)
