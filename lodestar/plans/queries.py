@@ -281,11 +281,7 @@ def dist_ivfpq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fbin_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors written as one fbin file in the shared folder and read back by the data source."""
-    import os
-
-    base = base_of(spark, sf_dir)
-    folder = shared_folder(spark, "fbin").removeprefix("file:").replace("//", "/")
-    os.makedirs(folder)
+    base, folder = base_of(spark, sf_dir), shared_folder(spark, "fbin")
     write_fbin(base, f"{folder}/base.fbin")
     rows = read_vectors(spark, f"{folder}/base.fbin", rowsPerPartition=500)
     return rows.select("id", F.posexplode("vec").alias("dim", "value")).select("id", F.col("dim").cast("long").alias("dim"), F.round(F.col("value").cast("double"), 6).alias("value"))

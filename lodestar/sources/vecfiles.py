@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Kind: numpy type, Spark element type, bytes before all rows, bytes before each row.
@@ -28,11 +29,14 @@ KINDS = {
 ROWS_AT_ONCE = 8_192
 
 
+def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
 def _open(path: str):
-    if "://" in path or path.startswith("file:"):
-        fs, inner = pafs.FileSystem.from_uri("file://" + path.removeprefix("file:").replace("//", "/") if path.startswith("file:/") and not path.startswith("file:///") else path)
-    else:
-        fs, inner = pafs.LocalFileSystem(), path
+    fs, inner = _file_system(path)
     if fs.get_file_info(inner).type != pafs.FileType.File:
         raise FileNotFoundError(path)
     return fs.open_input_file(inner)
@@ -121,19 +125,16 @@ def read_vectors(spark: SparkSession, path: str, kind: str | None = None, **opti
 
 def write_fbin(df: DataFrame, path: str) -> tuple[int, int]:
     """Writes (id, vec) in order of id as one file, streamed through the driver; returns rows and dimensions."""
-    n = 0
-    with open(path, "wb") as f:
-        f.write(struct.pack("<II", 0, 0))
-        d = None
-        for r in df.select("id", "vec").orderBy("id").toLocalIterator():
-            row = np.array(r["vec"], dtype="<f4")
-            if d is not None and len(row) != d:
-                raise ValueError("all rows must have one dimension")
-            d = len(row)
-            f.write(row.tobytes())
-            n += 1
-        f.seek(0)
+    size = F.size("vec")
+    n, d, least = df.agg(F.count("vec"), F.max(size), F.min(size)).first()
+    if d != least:
+        raise ValueError("all rows must have one dimension")
+    fs, inner = _file_system(path)
+    fs.create_dir(inner.rpartition("/")[0] or ".", recursive=True)
+    with fs.open_output_stream(inner) as f:
         f.write(struct.pack("<II", n, d or 0))
+        for r in df.select("id", "vec").where(F.col("vec").isNotNull()).orderBy("id").toLocalIterator():
+            f.write(np.array(r["vec"], dtype="<f4").tobytes())
     return n, d or 0
 
 
