@@ -21,15 +21,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestar.llm.common import rounds
+from lodestar.llm.common import rounds, tidy
 
 #: White space as the tokenizer file's patterns mean it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 UNIT_SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 #: Distinct chunks that a worker keeps; beyond, it starts anew.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 250_000
 #: Bytes of text whose distinct pieces share one pair index.
-INDEX_BYTES = 4_000_000
+INDEX_BYTES = 3_000_000
 
 
 def byte_letters() -> list[str]:
@@ -228,6 +228,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     [batch.column(0).slice(at, len(texts)), lists, pa.array(decoded, pa.string())],
                     names=["doc_id", "token_ids", "decoded"],
                 )
+        bpe.ids_of.clear()
 
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     out = T.StructType(
@@ -237,4 +238,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             T.StructField("decoded", T.StringType()),
         ]
     )
-    return picked.mapInArrow(run, out)
+    return picked.mapInArrow(tidy(run), out)

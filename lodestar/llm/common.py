@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,19 @@ def rounds(batch: pa.RecordBatch, column: int, limit: int = ROUND_CHARS) -> Iter
         at = stop
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives memory back when it ends: the worker stays for other operators' tasks."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+        if trim is not None:
+            trim(0)
+
+    return tidied
+
+
 # ------------------------------------------------------------------ words as hashes
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)

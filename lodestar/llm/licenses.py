@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestar.llm.common import PLAIN, rounds
+from lodestar.llm.common import PLAIN, rounds, tidy
 
 
 @dataclass(frozen=True)
@@ -160,4 +160,4 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = picked.schema[0].dataType.simpleString()
     match = "array<struct<label: string, start: long, length: long, score: double, base: boolean>>"
-    return picked.mapInArrow(run, f"doc_id {kind}, n_words long, matches {match}")
+    return picked.mapInArrow(tidy(run), f"doc_id {kind}, n_words long, matches {match}")

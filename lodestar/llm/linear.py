@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import rounds
+from lodestar.llm.common import rounds, tidy
 
 #: Labels are learned only from rows whose crc32(doc_id as text) leaves a remainder when divided by this.
 FOLDS = 5
@@ -52,7 +52,7 @@ def collect_vectors(sample: DataFrame, vector: Callable[[str], tuple[np.ndarray,
                 )
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    rows = sorted(sample.mapInArrow(run, f"doc_id {kind}, label int, buckets binary, vals binary").collect())
+    rows = sorted(sample.mapInArrow(tidy(run), f"doc_id {kind}, label int, buckets binary, vals binary").collect())
     return (
         [np.frombuffer(r["buckets"], dtype=np.int32) for r in rows],
         [np.frombuffer(r["vals"], dtype=np.float32) for r in rows],

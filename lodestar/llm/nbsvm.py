@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestar.llm.common import rounds
+from lodestar.llm.common import rounds, tidy
 from lodestar.llm.linear import collect_vectors, held_out, labelled_sample, platt, sigmoid
 from lodestar.llm.ngrams import distinct, text_buckets
 
@@ -88,5 +88,5 @@ def score_texts(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
 
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = picked.schema[0].dataType.simpleString()
-    scored = picked.mapInArrow(run, f"doc_id {kind}, score double")
+    scored = picked.mapInArrow(tidy(run), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (scored["score"] >= LEAST_SCORE).cast("int").alias("predicted"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import LOWER, rounds, shared_dir, shuffle_partitions, span_hashes, written
+from lodestar.llm.common import LOWER, rounds, shared_dir, shuffle_partitions, span_hashes, tidy, written
 
 COORDINATES, MATCHES = 32, 12
 SHINGLE_WORDS = 4
@@ -79,7 +79,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, fp binary, sig binary")
+    return docs.mapInArrow(tidy(run), f"doc_id {kind}, n_shingles long, fp binary, sig binary")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def _postings(classes: DataFrame) -> DataFrame:
                 fps = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), COORDINATES)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), fps], names=["key", "fp"])
 
-    return classes.select("fp", "sig").mapInArrow(run, "key long, fp binary")
+    return classes.select("fp", "sig").mapInArrow(tidy(run), "key long, fp binary")
 
 
 def _collisions(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def _collisions(pairs: DataFrame, members: DataFrame) -> DataFrame:
                 keep = pa.array(n >= MATCHES)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(n[n >= MATCHES], pa.int64())], names=["a", "b", "n"])
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary, n long")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(run), "a binary, b binary, n long")
 
 
 def _sizes_fit(a: Column, b: Column) -> Column:
@@ -135,7 +135,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     both = pairs.select("a", "b").join(s("a"), "a").join(s("b"), "b").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(tidy(run), "a binary, b binary")
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -240,7 +240,7 @@ def _by_list(rows: DataFrame, confirm: bool) -> DataFrame:
         yield frame(found())
 
     spread = rows.repartition(shuffle_partitions(rows.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return spread.select(*names).mapInArrow(run, "a binary, b binary")
+    return spread.select(*names).mapInArrow(tidy(run), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
@@ -322,4 +322,4 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
                         out[fp] = own.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], names=["fp", "shingles"])
 
-    return rows.select("text", "fp").mapInArrow(run, "fp binary, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles"))
+    return rows.select("text", "fp").mapInArrow(tidy(run), "fp binary, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles"))

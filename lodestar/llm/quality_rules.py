@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestar.llm.common import BLANK, mix, rounds, span_hashes, word_spans
+from lodestar.llm.common import BLANK, mix, rounds, span_hashes, tidy, word_spans
 from lodestar.llm.linear import collect_vectors, labelled_sample, platt, sigmoid
 from lodestar.llm.ngrams import buckets, text_buckets
 
@@ -115,7 +115,7 @@ def apply_rules(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col:
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = picked.schema[0].dataType.simpleString()
     longs = ", ".join(f"{x} long" for x in names[1:6])
-    return picked.mapInArrow(run, f"doc_id {kind}, {longs}, base_failed boolean, probability double, kept boolean")
+    return picked.mapInArrow(tidy(run), f"doc_id {kind}, {longs}, base_failed boolean, probability double, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
@@ -129,4 +129,4 @@ def keep_good(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame
                 yield batch.slice(at, len(texts)).filter(kept)
 
     column = docs.columns.index(text_col)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.common import shared_dir, shuffle_partitions, written
+from lodestar.llm.common import shared_dir, shuffle_partitions, tidy, written
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,7 +49,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
             row, before = row + n, int(ends[-1]) if n else before
 
     ranges = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    summed = written(ranges.mapInArrow(add_up, schema), shared_dir(spark), "ranges")
+    summed = written(ranges.mapInArrow(tidy(add_up), schema), shared_dir(spark), "ranges")
     # one row for each range: as many as there are shuffle partitions
     totals = summed.groupBy("range").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).orderBy("range").collect()
     bases, row, done = [], 0, 0

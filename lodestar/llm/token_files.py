@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from lodestar.llm.bpe import ChunkedBPE, byte_letters
-from lodestar.llm.common import rounds, shuffle_partitions
+from lodestar.llm.common import rounds, shuffle_partitions, tidy
 
 NULL_ID = np.iinfo(np.int64).min
 #: Bytes of text that are encoded at once.
@@ -36,9 +36,9 @@ ENCODE_BYTES = 4_000_000
 
 
 def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in folder or folder.startswith("file:"):
-        return pafs.FileSystem.from_uri("file://" + os.path.normpath(folder.removeprefix("file:").replace("//", "/", 1)) if folder.startswith("file:") else folder)
-    return pafs.LocalFileSystem(), folder
+    if folder.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
 
 
 class LibraryBPE(ChunkedBPE):
@@ -127,7 +127,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, id_c
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     ranges = picked.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     # one row for each range: as many as there are shuffle partitions
-    totals = sorted(ranges.mapInArrow(run, "part long, docs long, tokens long, width long").collect())
+    totals = sorted(ranges.mapInArrow(tidy(run), "part long, docs long, tokens long, width long").collect())
     manifest: dict = {"type": f"<u{totals[0]['width']}" if totals else "<u4", "parts": []}
     n_docs = n_tokens = 0
     for t in totals:
@@ -174,4 +174,4 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                         [pa.array(own, mask=own == NULL_ID), pa.array(first + cuts[:-1]), pa.array(np.diff(cuts)), pa.array(data, pa.binary())], names=schema.names
                     )
 
-    return parts.mapInArrow(run, schema)
+    return parts.mapInArrow(tidy(run), schema)

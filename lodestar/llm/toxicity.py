@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import rounds, shared_dir, written
+from lodestar.llm.common import rounds, shared_dir, tidy, written
 from lodestar.llm.linear import held_out, labelled_sample
 
 #: Labelled rows that the lexicon is learned from at most.
@@ -65,7 +65,7 @@ def count_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
 
-    grams = docs.select(docs[text_col].alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    grams = docs.select(docs[text_col].alias("text")).mapInArrow(tidy(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     counts = np.zeros(SYMBOLS**3)
     for r in grams.collect():
         counts[r["gram"]] = r["n"]
@@ -158,7 +158,7 @@ def _per_text(sample: DataFrame, counts: np.ndarray, wanted: frozenset | None) -
                     rows.append(sorted(own if wanted is None else own & wanted))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(rows, pa.list_(pa.string()))], names=["label", "features"])
 
-    return sample.select("label", "text").mapInArrow(run, "label int, features array<string>")
+    return sample.select("label", "text").mapInArrow(tidy(run), "label int, features array<string>")
 
 
 def _supports(sample: DataFrame, counts: np.ndarray, wanted: frozenset | None) -> DataFrame:
@@ -249,5 +249,5 @@ def score_texts(docs: DataFrame, counts: np.ndarray, model: dict, id_col: str =
 
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = picked.schema[0].dataType.simpleString()
-    scored = picked.mapInArrow(run, f"doc_id {kind}, score double, n_hits long")
+    scored = picked.mapInArrow(tidy(run), f"doc_id {kind}, score double, n_hits long")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= LEAST_SCORE).cast("int").alias("predicted"), "n_hits")
