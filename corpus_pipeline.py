@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Words of a shingle in the dedup stage; the four of operator 6's query are that query's own contract.
+DEDUP_WORDS = 5
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the rules and the classifier keep."""
@@ -29,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least doc_id of each group; rows of one kept doc_id stay together."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_duplicates(docs, width=DEDUP_WORDS).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
 
 

@@ -45,3 +45,13 @@ def test_each_stage_on_its_own_input(spark, sf):
         if name != "bpe":
             docs = spark.createDataFrame(list(got.values()), docs.schema)
     assert {r["doc_id"]: r["token_ids"] for r in corpus_pipeline.run(spark, sf).collect()} == {i: r["token_ids"] for i, r in out["bpe"].items()}
+
+
+def test_dedup_takes_five_words(spark, sf):
+    words = [f"w{i}" for i in range(42)]
+    near, copy = [*words[:20], "other", *words[21:]], [*words[:1], *words[1:]]
+    rows = [(0, " ".join(words)), (1, " ".join(near)), (2, " ".join(copy)), (3, "alone")]
+    assert [x[2] for x in brute.near(rows, 4).values()] == [True, False, False, True]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf).collect()}
+    assert got == {i for i, x in brute.near(rows, 5).items() if x[2]} == {0, 1, 3}
