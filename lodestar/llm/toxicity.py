@@ -1,9 +1,10 @@
 """Toxicity of deobfuscated texts.
 
-A noisy channel writes letters as look-alikes (leetspeak), spells them out with spaces and repeats
-them. Tokens that show such noise become lattices of characters, and a Viterbi search under a
-character trigram model, counted over all documents, picks the likeliest spelling. The restored
-text is scored by a lexicon of words and word beginnings that is learned from labelled rows.
+A noisy channel writes letters as look-alikes (leetspeak), spells them out with separators, splits
+words and repeats letters. Tokens and runs of tokens that show such noise become lattices of
+characters, in which a separator is a word's end or nothing, and a Viterbi search under a character
+trigram model, counted over all documents, picks the likeliest spelling. The restored text is scored
+by a lexicon of words and word beginnings that is learned from labelled rows.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "¢": "c",
 }
-#: Log-costs of the channel: a look-alike, a repeated letter, a character that stands for nothing.
-LOOKALIKE_COST, REPEAT_COST, NOTHING_COST = -1.0, -1.0, -2.5
+#: Log-costs of the channel: a look-alike, a repeated letter, a character that stands for nothing, a
+#: word that is split in two.
+LOOKALIKE_COST, REPEAT_COST, NOTHING_COST, SPLIT_COST = -1.0, -1.0, -2.5, -2.5
 
 #: Symbols of the model: 0 between words, 1-26 letters, 27 any other letter.
 SYMBOLS = 28
@@ -47,9 +49,12 @@ _BYTE_SYMBOL[0xC3:0xF5] = 27
 for _i in range(26):
     _BYTE_SYMBOL[[0x41 + _i, 0x61 + _i]] = _i + 1
 
+EDGES = "\"'.,;:?#%&*()[]{}<>~^`=/\\-_"
 WORDS = re.compile(r"[^\W\d_]+")
-NOISY = re.compile(r"[^\W\d_][0-9@$!|+(€£¡¢*.\-_]+[^\W\d_]|^[0-9@$!|+(€£¡¢]+[^\W\d_]{2}|[^\W\d_]{2}[0-9]+$|([^\W\d_])\1\1")
-SPELLED = re.compile(r"(?<!\w)(?:[^\W_][ .\-_*]){2,}[^\W_](?!\w)")
+NOISY = re.compile(r"[^\W\d_][0-9@$!|+(€£¡¢*.\-_]+[^\W\d_]|^[0-9@$!|+(€£¡¢]+[^\W\d_]{2}|[^\W\d_]{2}[0-9]+$|([^\W\d_])\1")
+#: Characters that stand alone, three at least, with any run of blanks or separators between.
+SEPARATORS = r"[\s.,;:\-_*/\\|~=+#'\"·•]+"
+SPELLED = re.compile(rf"(?<!\w)(?:[^\W_@$!]|[@$!](?=[\W_])){SEPARATORS}(?:[^\W_]{SEPARATORS}|[@$!]{SEPARATORS})+[^\W_](?!\w)")
 
 
 def count_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -86,17 +91,20 @@ class Restorer:
         base = unicodedata.normalize("NFKD", c)[0]
         return ord(base) - 96 if "a" <= base <= "z" else 27
 
-    def restore(self, token: str) -> str:
-        """The likeliest word behind a lower-case token; letters outside a-z stay as they are."""
+    def restore(self, token: str, joins: float = 0.0) -> str:
+        """The likeliest words behind a lower-case token; letters outside a-z stay as they are. A blank ends
+        a word, or at the cost ``joins`` it is nothing."""
         best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         prior = ""
         for c in token:
             options: list[tuple[int, str, float]] = []
             if c.isalpha():
                 options.append((self.fold(c), c, 0.0))
+            elif c == " ":
+                options.append((0, c, 0.0))
             for x in LOOKALIKES.get(c, ""):
                 options.append((ord(x) - 96, x, LOOKALIKE_COST))
-            drop = NOTHING_COST if not c.isalpha() else REPEAT_COST if c == prior else None
+            drop = joins if c == " " else NOTHING_COST if not c.isalpha() else REPEAT_COST if c == prior else None
             following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, path) in best.items():
                 row = self.log[a][b]
@@ -107,7 +115,7 @@ class Restorer:
                 if drop is not None and ((a, b) not in following or score + drop > following[a, b][0]):
                     following[a, b] = score + drop, path
             best = following or best
-            prior = c
+            prior = prior if c == " " else c
         path = max(((score + self.log[a][b][0], a, b, path) for (a, b), (score, path) in best.items()), key=lambda x: x[:3])[3]
         letters = []
         while path is not None:
@@ -118,14 +126,35 @@ class Restorer:
     def words(self, chunk: str) -> set[str]:
         """The words of a chunk without white space, as written and as restored."""
         found = set(WORDS.findall(chunk))
-        core = chunk.strip("\"'.,;:?#%&*()[]{}<>~^`=/\\-_")
+        core = chunk.strip(EDGES)
         if NOISY.search(core):
             found.update(WORDS.findall(self.restore(core)))
-            found.update(WORDS.findall(self.restore(core.rstrip("!$@|+"))))
+            if (bare := core.rstrip("!$@|+")) != core:
+                found.update(WORDS.findall(self.restore(bare)))
         return found
 
     def spelled(self, text: str) -> set[str]:
-        return {self.restore(re.sub(r"[ .\-_*]", "", m[0])) for m in SPELLED.finditer(text)}
+        """The words of runs of characters that stand alone: each run as one word and as several, also
+        without its first or last character, which can be a word of its own beside a spelled one."""
+        found: set[str] = set()
+        for m in SPELLED.finditer(text):
+            units = re.split(SEPARATORS, m[0])
+            for own in (units, units[1:], units[:-1], units[1:-1]):
+                if len(own) > 2:
+                    found.add(self.restore("".join(own)))
+                    found.update(self.restore(" ".join(own)).split())
+        return found
+
+    def split(self, chunks: list[str], lexicon: dict[str, float], heads: frozenset[str]) -> set[str]:
+        """The words with entries that two chunks in a row make, where the first begins an entry and one word is likelier than two."""
+        found: set[str] = set()
+        for first, second in zip(chunks, chunks[1:]):  # noqa: B905
+            if first in heads:
+                word = first + second.strip(EDGES + "!")
+                if WORDS.fullmatch(word) and any(f in lexicon and len(f) - f.endswith("*") > len(first) for f in features(word)):
+                    if self.restore(f"{first} {word[len(first):]}", SPLIT_COST) == word:
+                        found.add(word)
+        return found
 
 
 def features(word: str) -> list[str]:
@@ -221,6 +250,7 @@ def score_texts(docs: DataFrame, counts: np.ndarray, model: dict, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, lexicon = Restorer(counts), model["lexicon"]
+        heads = frozenset(f[:k] for f in lexicon for k in range(1, len(f) - f.endswith("*")))
         known: set[str] = set()
         hot: dict[str, float] = {}
 
@@ -235,14 +265,16 @@ def score_texts(docs: DataFrame, counts: np.ndarray, model: dict, id_col: str =
                     if len(known) > KEPT_CHUNKS:
                         known.clear()
                         hot.clear()
-                    chunks = set(t.split())
+                    row = t.split()
+                    chunks = set(row)
                     for chunk in chunks - known:
                         if value := worth(restorer.words(chunk)):
                             hot[chunk] = value
                     known |= chunks
                     found = [hot[c] for c in hot.keys() & chunks]
-                    if value := worth(restorer.spelled(t)):
-                        found.append(value)
+                    for words in (restorer.spelled(t), restorer.split(row, lexicon, heads)):
+                        if value := worth(words):
+                            found.append(value)
                     scores.append(max(found, default=model["rest"]))
                     hits.append(len(found))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(scores, pa.float64()), pa.array(hits, pa.int64())], names=["doc_id", "score", "n_hits"])

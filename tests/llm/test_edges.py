@@ -282,6 +282,29 @@ def test_deobfuscation(spark):
     assert all(got[i] == t for i, _, t in labels)
 
 
+def test_deobfuscation_of_separators_and_doubled_letters(spark):
+    """Separators of any kind are words' ends or nothing, words next to spelled ones stay apart, and doubled letters come back as one."""
+    rng = np.random.default_rng(8)
+    bad = ["idiot", "moron", "stupid", "clown"]
+    clean = ["the", "house", "garden", "river", "stone", "winter", "people", "morning", "idea", "story", "what", "a", "i", "say", "coffee", "letter", "id"]
+    rows, labels = [], []
+    for i in range(400):
+        words = list(rng.choice(clean, 30))
+        if i % 4 == 0:
+            words[int(rng.integers(0, 30))] = str(rng.choice(bad))
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    toxic = ["what a i d i o t", "m o r o n i say", "the s t u p i d i d i o t", "the i\td\ti\to\tt house", "i/d/i/o/t", "the i  d  i  o  t", "i, d, i, o, t"]
+    toxic += ["what a id iot", "the mo ron!", "the idiiot", "stuupid people", "a clowwn", "iidioott"]
+    fine = ["the coffee letter", "a i say what", "a id story", "what a i a house", "the river, i say"]
+    docs = make(spark, rows + [(1000 + i, t) for i, t in enumerate(toxic)] + [(2000 + i, t) for i, t in enumerate(fine)])
+    counts = toxicity.count_trigrams(docs)
+    model = toxicity.learn_lexicon(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), counts)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_texts(docs, counts, model).collect()}
+    assert [t for i, t in enumerate(toxic) if not got[1000 + i]] == [] and [t for i, t in enumerate(fine) if got[2000 + i]] == []
+    assert all(got[i] == t for i, _, t in labels)
+
+
 def test_accuracy_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
