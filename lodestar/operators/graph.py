@@ -39,6 +39,7 @@ def build_graphs(parted: DataFrame, dim: int, metric: str = "ip", M: int = 16, e
         g = Graph(dim, metric, M, ef_construction, seed)
         for label, vec in rows.sort_values("id")[["id", "vec"]].itertuples(index=False):
             g.add(np.asarray(vec), int(label))
+        g.mend()
         return _frame(rows["part"].iloc[0], g)
 
     return parted.select("id", "vec", F.col("part").cast("string").alias("part")).groupBy("part").applyInPandas(build, SCHEMA)
@@ -128,14 +129,21 @@ def whole_documents(result: DataFrame, docs: DataFrame, num_docs: int) -> DataFr
 
 
 def broken_links(graphs: DataFrame) -> DataFrame:
-    """(part, node, problem) of every node with a wrong link, in column functions alone."""
-    n = F.element_at("links", 1).cast("int")
-    ground = graphs.select("part", "node", F.slice("links", F.lit(2), n).alias("near"))
-    own = ground.where(F.array_contains("near", F.col("node"))).select("part", "node", F.lit("links to itself").alias("problem"))
-    twice = ground.where(F.size(F.array_distinct("near")) < F.size("near")).select("part", "node", F.lit("repeated link").alias("problem"))
-    reached = ground.select("part", F.explode("near").alias("node")).distinct()
+    """(part, node, problem) of every node with a wrong link on any level, or without a link to it on level 0, in column functions alone."""
+    one = F.struct(F.lit(1).alias("at"), F.array().cast("array<array<bigint>>").alias("lists"))
+
+    def step(acc: Column, _: Column) -> Column:
+        n = F.element_at("links", acc["at"]).cast("int")
+        return F.struct((acc["at"] + n + 1).alias("at"), F.concat(acc["lists"], F.array(F.slice("links", acc["at"] + 1, n))).alias("lists"))
+
+    by_level = F.aggregate(F.sequence(F.lit(0), F.col("level")), one, step, lambda acc: acc["lists"])
+    lists = graphs.select("part", "node", F.posexplode(by_level).alias("lv", "near"))
+    named = lambda text: F.when(F.col("lv") == 0, text).otherwise(F.concat(F.lit(f"{text} on level "), F.col("lv").cast("string"))).alias("problem")
+    own = lists.where(F.array_contains("near", F.col("node"))).select("part", "node", named("links to itself"))
+    twice = lists.where(F.size(F.array_distinct("near")) < F.size("near")).select("part", "node", named("repeated link"))
+    reached = lists.where("lv = 0").select("part", F.explode("near").alias("node")).distinct()
     several = graphs.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
-    lost = ground.select("part", "node").join(reached, ["part", "node"], "left_anti").join(several, "part", "left_semi")
+    lost = graphs.select("part", "node").join(reached, ["part", "node"], "left_anti").join(several, "part", "left_semi")
     return own.unionByName(twice).unionByName(lost.select("part", "node", F.lit("no way in").alias("problem")))
 
 

@@ -231,6 +231,22 @@ def test_graphs_of_parts(spark, points):
     assert ids_of(graph.search_graphs(graph.build_graphs(split, 8), queries, 5, 8, ef=600, parts=every)) == want
 
 
+def test_integrity_of_all_levels(spark):
+    """Every problem of every level is named, and what a build leaves without a way in is mended."""
+    rows = [("p", 0, 0, 1, False, True, [0.0], [2, 1, 2, 2, 0, 1]), ("p", 1, 1, 1, False, False, [1.0], [1, 0, 2, 0, 0]), ("p", 2, 2, 0, False, False, [2.0], [2, 2, 0]), ("p", 3, 3, 0, False, False, [3.0], [1, 0])]
+    got = {(r["node"], r["problem"]) for r in graph.broken_links(spark.createDataFrame(rows, graph.SCHEMA)).collect()}
+    assert got == {(0, "links to itself on level 1"), (1, "repeated link on level 1"), (2, "links to itself"), (3, "no way in")}
+    data = np.random.default_rng(5).normal(size=(600, 8)) * np.linspace(0.1, 3, 600)[:, None]
+    g = Graph(8, "ip", 4, 20)
+    for i, v in enumerate(data):
+        g.add(v, i)
+    assert any("no link leads" in x for x in g.check())
+    g.mend()
+    assert g.check() == []
+    split = graph.split_parts(table(spark, data.astype(np.float32)).withColumn("part", F.lit(0)))
+    assert graph.broken_links(graph.build_graphs(split, 8, M=4, ef_construction=20)).count() == 0
+
+
 def test_vector_files(spark, tmp_path):
     data = np.random.default_rng(2).random((1000, 8), dtype=np.float32)
     path = str(tmp_path / "base.fbin")
