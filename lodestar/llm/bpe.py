@@ -1,33 +1,35 @@
 """Byte-pair encoding and decoding by a pair occurrence index.
 
-The distinct pieces of a partition's texts lie end to end in one symbol list. A map holds for
-each adjacent pair all the positions where it stands, and a heap holds the ranks of the pairs
-that occur. Ranks are applied in ascending order, each at all its positions at once; a merge
-adds the positions of the pairs that it forms to their lists, and positions that a merge has
-outdated are found so when their own rank comes up.
+A partition's texts are taken in rounds of bounded size. The distinct pieces of a round that aren't
+known yet lie end to end in one symbol list. A map holds for each adjacent pair all the positions
+where it stands, and a heap holds the ranks of the pairs that occur. Ranks are applied in ascending
+order, each at all its positions at once; a merge adds the positions of the pairs that it forms to
+their lists, and positions that a merge has outdated are found so when their own rank comes up.
+
+Texts are normalised and cut into pieces by the tokenizer file's own normaliser and pre-tokenizer, as
+the tokenizers library runs them. Special tokens are looked for in the raw text, before that, and
+travel as integers, so no text can turn into one on its way.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lodestar.llm.common import rounds, tidy
 
-#: White space as the tokenizer file's patterns mean it.
-SPACE = r"\t-\r \x85\xa0  -     　"
-UNIT_SEPARATORS = regex.compile(r"[\x1c-\x1f]")
-#: Distinct chunks that a worker keeps; beyond, it starts anew.
-KEPT_CHUNKS = 250_000
+#: Raw texts are cut at ASCII white space, which no normaliser step joins and no piece holds.
+CHUNK = re.compile(r"[^\t-\r ]+")
+#: Characters of distinct chunks that a worker keeps; beyond, it starts anew.
+KEPT_CHARS = 4_000_000
 #: Bytes of text whose distinct pieces share one pair index.
 INDEX_BYTES = 3_000_000
 
@@ -39,78 +41,28 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-class ChunkedBPE:
-    """Cuts texts as a tokenizer file of kind BPE with word ends does and remembers chunks' ids.
+class PairIndexBPE:
+    """Encodes all new pieces of a round through one pair occurrence index and remembers chunks' ids.
 
-    White space ends every token, so a text's ids are those of its chunks one after the other.
-    Subclasses say how pieces are encoded.
+    White space ends every piece, so a text's ids are those of its chunks one after the other. Takes
+    files whose pre-tokenizer drops white space and whose special tokens are taken as they stand.
     """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.read(spec["model"])
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {i: t for t, i in self.special.items()}
-        self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
-        self.pieces_pattern = regex.compile(split.replace(r"\s", SPACE))
-        self.cut_pattern = regex.compile(f"[^{SPACE}]+")
-        #: The ids of chunks, and of pieces, which are chunks too.
-        self.ids_of: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        """The normalised text cut at white space; a special token is a chunk of its own after a NUL."""
-        if "<|" not in text:
-            return self._plain(text)
-        out: list[str] = []
-        for i, part in enumerate(self.special_pattern.split(text)):
-            out += ["\0" + part] if i % 2 else self._plain(part)
-        return out
-
-    def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
-        # split() also cuts at these four, which are no white space here
-        return self.cut_pattern.findall(text) if UNIT_SEPARATORS.search(text) else text.split()
-
-    def chunk_pieces(self, chunk: str) -> list[str]:
-        return [chunk] if chunk[0] == "\0" and chunk[1:] in self.special else self.pieces_pattern.findall(chunk)
-
-    def read(self, model: dict) -> None:
-        raise NotImplementedError
-
-    def learn(self, pieces: list[str]) -> None:
-        raise NotImplementedError
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 32-bit integers."""
-        if len(self.ids_of) > KEPT_CHUNKS:
-            self.ids_of.clear()
-        split = [self.chunks(t) for t in texts]
-        new = {c: self.chunk_pieces(c) for c in set().union(*split) if c not in self.ids_of}
-        pieces = {p for some in new.values() for p in some if p not in self.ids_of}
-        for p in [p for p in pieces if p[0] == "\0" and p[1:] in self.special]:
-            self.ids_of[p] = np.array([self.special[p[1:]]], dtype=np.int32).tobytes()
-            pieces.remove(p)
-        if pieces:
-            self.learn(list(pieces))
-        known = self.ids_of.__getitem__
-        for chunk, pieces in new.items():
-            if len(pieces) != 1:
-                self.ids_of[chunk] = b"".join(map(known, pieces))
-        return [b"".join(map(known, chunks)) for chunks in split]
-
-    def decode(self, ids: Iterable[int]) -> str:
-        """The file has no decoder, so tokens are joined by a space; special ones stay."""
-        return " ".join(map(self.tokens.__getitem__, ids))
-
-
-class PairIndexBPE(ChunkedBPE):
-    """Encodes all new pieces of a round through one pair occurrence index."""
-
-    def read(self, model: dict) -> None:
+        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path} has added tokens that aren't taken as they stand")
+        library = Tokenizer.from_file(path)
+        self.normalize, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        if [p for p, _ in self.cut(self.normalize("a a\ta"))] != 3 * [p for p, _ in self.cut(self.normalize("a"))]:
+            raise ValueError(f"{path} keeps white space in its pieces")
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        model = spec["model"]
+        self.tokens = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         self.end = model.get("end_of_word_suffix") or ""
         vocab = model["vocab"]
         #: By rank: left, right and merged token; and the ranks by sorted pair.
@@ -123,12 +75,53 @@ class PairIndexBPE(ChunkedBPE):
         order = np.argsort(keys, kind="stable")
         self.keys, self.key_ranks = np.append(keys[order], np.iinfo(np.int64).max), np.append(order, self.n_ranks)
         letters = byte_letters()
+        self.byte_of = str.maketrans({x: chr(b) for b, x in enumerate(letters)})
         self.inner = np.array([vocab[x] for x in letters], dtype=np.int64)
         self.last = np.array([vocab[x + self.end] for x in letters], dtype=np.int64)
+        #: The ids of chunks and, apart from these, of pieces.
+        self.ids_of: dict[str, bytes] = {}
+        self.piece_ids: dict[str, bytes] = {}
+        self.kept = 0
+
+    def pieces(self, chunk: str) -> list[str | int]:
+        """A raw chunk's pieces in byte letters; a special token is its id."""
+        if self.special_pattern is None or "<" not in chunk and not self.special_pattern.search(chunk):
+            return [p for p, _ in self.cut(self.normalize(chunk))]
+        out: list[str | int] = []
+        for i, part in enumerate(self.special_pattern.split(chunk)):
+            if i % 2:
+                out.append(self.special[part])
+            elif part:
+                out += [p for p, _ in self.cut(self.normalize(part))]
+        return out
+
+    def forget(self) -> None:
+        self.ids_of.clear()
+        self.piece_ids.clear()
+        self.kept = 0
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit integers."""
+        if self.kept > KEPT_CHARS:
+            self.forget()
+        split = [CHUNK.findall(t) for t in texts]
+        new = {c: self.pieces(c) for c in set().union(*split) if c not in self.ids_of}
+        unknown = {p for some in new.values() for p in some if isinstance(p, str)} - self.piece_ids.keys()
+        if unknown:
+            self.learn(list(unknown))
+        for chunk, pieces in new.items():
+            self.ids_of[chunk] = b"".join(p.to_bytes(4, "little") if isinstance(p, int) else self.piece_ids[p] for p in pieces)
+        self.kept += sum(map(len, new)) + sum(map(len, unknown))
+        known = self.ids_of.__getitem__
+        return [b"".join(map(known, chunks)) for chunks in split]
+
+    def decode(self, ids: Iterable[int]) -> str:
+        """The file has no decoder, so tokens are joined by a space; special ones stay."""
+        return " ".join(map(self.tokens.__getitem__, ids))
 
     def learn(self, pieces: list[str]) -> None:
         # No byte of UTF-8 is 0xFF: it ends each piece, and no pair reaches over it.
-        data = np.frombuffer(b"".join(p.encode("utf-8", "surrogatepass") + b"\xff" for p in pieces), dtype=np.uint8)
+        data = np.frombuffer(b"".join(p.translate(self.byte_of).encode("latin-1") + b"\xff" for p in pieces), dtype=np.uint8)
         ends = np.flatnonzero(data == 0xFF)
         symbols = self.inner[data]
         symbols[ends - 1] = self.last[data[ends - 1]]
@@ -139,7 +132,7 @@ class PairIndexBPE(ChunkedBPE):
         ids = symbols[left].astype(np.int32).tobytes()
         at = 0
         for p, stop in zip(pieces, stops, strict=True):
-            self.ids_of[p] = ids[4 * at : 4 * stop]
+            self.piece_ids[p] = ids[4 * at : 4 * stop]
             at = stop
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -214,7 +207,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     Null and empty texts have no ids and decode to ''. Repeated rows and null ids are kept as
     they are; other columns of ``docs`` are never read, so their names can't clash. Texts of any
-    length are encoded whole; a partition's distinct pieces are encoded once.
+    length are encoded whole, a longer one than INDEX_BYTES in a round of its own; of pairs of one
+    rank that overlap the leftmost is merged. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +222,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     [batch.column(0).slice(at, len(texts)), lists, pa.array(decoded, pa.string())],
                     names=["doc_id", "token_ids", "decoded"],
                 )
-        bpe.ids_of.clear()
+        bpe.forget()
 
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     out = T.StructType(

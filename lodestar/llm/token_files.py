@@ -2,14 +2,15 @@
 
 A dataset is a folder of parts, one for each range of doc_id, in ascending order:
 
-- ``part-00000.tokens``: the ids of its documents one after the other, as unsigned little-endian
-  integers of 2 bytes, or of 4 where the vocabulary has more than 65,536 ids;
-- ``part-00000.offsets``: n + 1 unsigned 64-bit integers, where each document starts and the last ends;
-- ``part-00000.ids``: n signed 64-bit doc_ids (the least integer stands for null);
-- ``manifest.json``: the integer type and for each part its documents, its tokens and the sums of
-  both over the parts before it.
-
-Tasks write under a name of their own and rename, so one that is run again or twice leaves the same files.
+- ``NAME.tokens``: the ids of its documents one after the other, as unsigned little-endian
+  integers of 2 bytes, or of 4 where the vocabulary has larger ids than 65,535;
+- ``NAME.offsets``: n + 1 unsigned 64-bit integers, where each document starts and the last ends;
+- ``NAME.ids``: n signed 64-bit doc_ids, those of null ids 0;
+- ``manifest.json``: the integer type and for each part its name, its documents, how many of them, the
+  first ones, have a null id, its tokens, and the sums of documents and tokens over the parts before it.
+
+Each run of a task writes under a name of its own, and the manifest names those of the runs that
+counted; what others left is removed. Nothing is renamed or written over.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lodestar.llm.bpe import ChunkedBPE, byte_letters
 from lodestar.llm.common import rounds, shuffle_partitions, tidy
 
-NULL_ID = np.iinfo(np.int64).min
 #: Bytes of text that are encoded at once.
 ENCODE_BYTES = 4_000_000
 
@@ -41,25 +41,20 @@ def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
 
 
-class LibraryBPE(ChunkedBPE):
-    """The tokenizers library's model encodes each new piece once."""
+class LibraryBPE:
+    """The tokenizers library's whole encoding."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = str.maketrans(dict(enumerate(byte_letters())))
-        super().__init__(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.width = 2 if max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else 4
 
-    def read(self, model: dict) -> None:
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-
-    def learn(self, pieces: list[str]) -> None:
-        tokenize = self.model.tokenize
-        for p in pieces:
-            letters = p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-            self.ids_of[p] = np.array([t.id for t in tokenize(letters)], dtype=np.int32).tobytes()
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=2)
@@ -68,11 +63,9 @@ def library(path: str) -> LibraryBPE:
 
 
 def _put(fs: pafs.FileSystem, path: str, chunks: Iterator[bytes]) -> None:
-    own = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(own) as out:
+    with fs.open_output_stream(path) as out:
         for chunk in chunks:
             out.write(chunk)
-    fs.move(own, path)
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> dict:
@@ -80,9 +73,13 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, id_c
 
     Null and empty texts have the end id alone. Documents stand in ascending doc_id order, null
     ids first, equal ids in the order of their texts; repeated rows are written once each. An
-    empty table gives a manifest without parts. Other columns aren't read.
+    empty table gives a manifest without parts. Ids must be integers. Texts of any length are encoded
+    whole, and a batch of texts at a time is held in memory. Other columns aren't read.
     """
     spark = docs.sparkSession
+    kind_of_id = docs.schema[id_col].dataType
+    if not isinstance(kind_of_id, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise ValueError(f"{id_col} must be integers, not {kind_of_id.simpleString()}")
     fs, base = file_system(folder)
     fs.create_dir(base, recursive=True)
 
@@ -92,57 +89,60 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, id_c
         part = TaskContext.get().partitionId()
         fs, base = file_system(folder)
         bpe = library(path)
-        kind = f"<u{bpe.width}"
-        counts: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
-        name = f"{base}/part-{part:05d}"
+        name = f"part-{part:05d}-{uuid.uuid4().hex}"
+        counts, ids, nulls = [np.zeros(1, dtype=np.int64)], [], 0
 
         def tokens() -> Iterator[bytes]:
-            end = np.array([end_id], dtype=np.int32).tobytes()
-            for batch in batches:
-                ids.append(np.asarray(pc.fill_null(batch.column(0).cast(pa.int64()), NULL_ID)))
+            nonlocal nulls
+            for batch in chain([first], batches):
+                nulls += batch.column(0).null_count
+                ids.append(np.asarray(pc.fill_null(batch.column(0).cast(pa.int64()), 0)))
                 for _, texts in rounds(batch, 1, ENCODE_BYTES):
-                    parts = bpe.encode(texts)
-                    counts.append(np.array([len(x) // 4 + 1 for x in parts], dtype=np.int64))
-                    yield np.frombuffer(b"".join(x + end for x in parts), dtype=np.int32).astype(kind).tobytes()
+                    for own in bpe.encode(texts):
+                        counts.append(np.array([len(own) + 1]))
+                        yield np.append(own, end_id).astype(f"<u{bpe.width}").tobytes()
 
-        first = next(batches, None)
-        while first is not None and not first.num_rows:
-            first = next(batches, None)
+        first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        rest, batches = batches, iter([first])
-
-        def joined() -> Iterator[pa.RecordBatch]:
-            yield first
-            yield from rest
-
-        batches = joined()
-        _put(fs, f"{name}.tokens", tokens())
-        offsets = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
-        _put(fs, f"{name}.offsets", iter([offsets.astype("<u8").tobytes()]))
-        _put(fs, f"{name}.ids", iter([np.concatenate(ids).astype("<i8").tobytes()]))
-        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(offsets) - 1]), pa.array([int(offsets[-1])]), pa.array([bpe.width])], names=["part", "docs", "tokens", "width"])
+        _put(fs, f"{base}/{name}.tokens", tokens())
+        offsets = np.cumsum(np.concatenate(counts))
+        _put(fs, f"{base}/{name}.offsets", iter([offsets.astype("<u8").tobytes()]))
+        _put(fs, f"{base}/{name}.ids", iter([np.concatenate(ids).astype("<i8").tobytes()]))
+        yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "docs": len(offsets) - 1, "nulls": nulls, "tokens": int(offsets[-1]), "width": bpe.width}])
 
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     ranges = picked.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     # one row for each range: as many as there are shuffle partitions
-    totals = sorted(ranges.mapInArrow(tidy(run), "part long, docs long, tokens long, width long").collect())
+    totals = sorted(ranges.mapInArrow(tidy(run), "part long, name string, docs long, nulls long, tokens long, width long").collect())
     manifest: dict = {"type": f"<u{totals[0]['width']}" if totals else "<u4", "parts": []}
     n_docs = n_tokens = 0
     for t in totals:
-        manifest["parts"].append({"part": t["part"], "docs": t["docs"], "tokens": t["tokens"], "first_doc": n_docs, "first_token": n_tokens})
+        manifest["parts"].append({"name": t["name"], "docs": t["docs"], "nulls": t["nulls"], "tokens": t["tokens"], "first_doc": n_docs, "first_token": n_tokens})
         n_docs, n_tokens = n_docs + t["docs"], n_tokens + t["tokens"]
     _put(fs, f"{base}/manifest.json", iter([json.dumps(manifest).encode()]))
+    named = {t["name"] for t in totals}
+    for info in fs.get_file_info(pafs.FileSelector(base)):
+        if info.base_name.startswith("part-") and info.base_name.partition(".")[0] not in named:
+            fs.delete_file(info.path)
     return manifest
 
 
-def _array(fs: pafs.FileSystem, path: str, kind: str) -> np.ndarray:
-    """The file as an array, mapped into memory where it is on a local or mounted disk."""
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.empty(0, dtype=kind)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=kind)
+class Flat:
+    """A file of integers, mapped into memory where it is on a local or mounted disk, else read by ranges."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str, kind: str):
+        self.kind, self.map, self.file = np.dtype(kind), None, None
+        if isinstance(fs, pafs.LocalFileSystem):
+            self.map = np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.empty(0, dtype=kind)
+        else:
+            self.file = fs.open_input_file(path)
+
+    def __getitem__(self, place: slice) -> np.ndarray:
+        if self.map is not None:
+            return self.map[place]
+        self.file.seek(place.start * self.kind.itemsize)
+        return np.frombuffer(self.file.read((place.stop - place.start) * self.kind.itemsize), dtype=self.kind)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,22 +156,22 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         manifest = json.loads(f.read())
     kind = manifest["type"]
     schema = T.StructType().add("doc_id", "long").add("start", "long").add("n_tokens", "long").add("tokens", "binary")
-    rows = [(p["part"], p["first_token"]) for p in manifest["parts"]]
-    parts = spark.createDataFrame(rows, "part long, first_token long")
+    rows = [(p["name"], p["docs"], p["nulls"], p["first_token"]) for p in manifest["parts"]]
+    parts = spark.createDataFrame(rows, "name string, docs long, nulls long, first_token long")
     if len(rows) > 1:
-        parts = parts.repartitionByRange(len(rows), "part")
+        parts = parts.repartitionByRange(len(rows), "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = file_system(folder)
         for batch in batches:
-            for part, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                name = f"{base}/part-{part:05d}"
-                tokens, offsets, ids = _array(fs, f"{name}.tokens", kind), _array(fs, f"{name}.offsets", "<u8").astype(np.int64), _array(fs, f"{name}.ids", "<i8")
-                for a in range(0, len(ids), 1000):
-                    own, cuts = ids[a : a + 1000], offsets[a : a + 1001]
-                    data = [tokens[x:y].astype("<u4").tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            for name, n, nulls, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens, offsets, ids = (Flat(fs, f"{base}/{name}.{x}", k) for x, k in (("tokens", kind), ("offsets", "<u8"), ("ids", "<i8")))
+                for a in range(0, n, 1000):
+                    b = min(a + 1000, n)
+                    own, cuts = ids[a:b], offsets[a : b + 1].astype(np.int64)
+                    data = [tokens[x:y].astype("<u4").tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(own, mask=own == NULL_ID), pa.array(first + cuts[:-1]), pa.array(np.diff(cuts)), pa.array(data, pa.binary())], names=schema.names
+                        [pa.array(own, mask=np.arange(a, b) < nulls), pa.array(first + cuts[:-1]), pa.array(np.diff(cuts)), pa.array(data, pa.binary())], names=schema.names
                     )
 
     return parts.mapInArrow(tidy(run), schema)
