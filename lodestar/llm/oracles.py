@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm.secrets import LEAST_BITS, WINDOW
+from lodestar.llm.secrets import ALLOWED_BEFORE, ALLOWED_RUN, ALLOWED_WORDS, CANDIDATE, LEAST_BITS, WINDOW
 
 PLAIN = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -36,10 +36,9 @@ _ASSIGN = (
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 )
-_PATTERNS = {0: _ASSIGN, 1: "AKIA[A-Z0-9]+", 2: "[0-9a-f]+", 3: f"[A-Za-z0-9+/=_-]{{{WINDOW},}}"}
+_PATTERNS = {0: _ASSIGN, 1: "AKIA[A-Z0-9]+", 2: "[0-9a-f]+", 3: CANDIDATE}
 _LEAST = {0: "length(regexp_extract(m, '" + _ASSIGN + "', 2)) >= 6", 1: "length(m) >= 20", 2: "length(m) >= 24"}
-_ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|x{6,}|0123456789|abcdefgh|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-_ALLOWED_BEFORE = r"(?i)(sha(1|256|384|512)|md5|checksum|commit|integrity|uuid|base64)[-\"'': =,]*$"
+_BEFORE = ALLOWED_BEFORE.replace("'", "''")
 
 
 def _matches(kind: int) -> str:
@@ -54,18 +53,25 @@ def _matches(kind: int) -> str:
 
 def _secrets() -> str:
     bits = f"list_max(list_transform(range(1, length(m) - {WINDOW} + 2), lambda i: list_aggregate(string_split(substr(m, i::INTEGER, {WINDOW}), ''), 'entropy')))"
-    least = f"CASE WHEN regexp_full_match(m, '[0-9a-f]+') THEN {LEAST_BITS['hex']} WHEN regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') THEN {LEAST_BITS['mixed']} ELSE {LEAST_BITS['alnum']} END"
-    run = (
-        f"regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, '{_ALLOWED}') "
-        f"AND NOT regexp_matches(right(before, 40), '{_ALLOWED_BEFORE}')"
+    has = lambda p: f"regexp_matches(m, '[{p}]')"
+    least = (
+        f"CASE WHEN {has('0-9')} AND {has('a-z')} AND regexp_full_match(m, '[0-9a-f]+') THEN {LEAST_BITS['hex']} WHEN {has('0-9')} AND {has('a-z')} AND {has('A-Z')} THEN {LEAST_BITS['mixed']} "
+        f"WHEN {has('0-9')} AND ({has('a-z')} OR {has('A-Z')}) THEN {LEAST_BITS['alnum']} WHEN {has('a-z')} AND {has('A-Z')} THEN {LEAST_BITS['letters']} END"
+    )
+    parts = (
+        "SELECT doc_id, before, a, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS m, unnest(list_append(ws, '')) AS word FROM "
+        f"(SELECT doc_id, before, a, string_split_regex(m, '{ALLOWED_WORDS}') AS ps, regexp_extract_all(m, '{ALLOWED_WORDS}') AS ws FROM runs)"
     )
     base = " UNION ALL ".join(f"SELECT doc_id, k, a, b FROM ({_matches(k)}) WHERE {_LEAST[k]}" for k in (0, 1, 2))
     names = "['assign', 'access', 'hex', 'entropy'][k + 1]"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({base}),
-runs AS (SELECT doc_id, k, a, b, m FROM ({_matches(3)}) WHERE {run}),
-more AS (SELECT doc_id, k, a, b FROM runs WHERE {bits} >= {least} - 1e-9 AND NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = runs.doc_id AND x.a < runs.b AND runs.a < x.b)),
+runs AS (SELECT doc_id, before, a, m FROM ({_matches(3)}) WHERE NOT regexp_matches(m, '{ALLOWED_RUN}')),
+parts AS ({parts}),
+pieces AS (SELECT doc_id, 3 AS k, CASE WHEN i = 1 THEN before ELSE '' END AS before, m, (a + sum(length(m) + length(word)) OVER (PARTITION BY doc_id, a ORDER BY i) - length(m) - length(word))::BIGINT AS a FROM parts),
+more AS (SELECT doc_id, k, a, a + length(m) AS b FROM pieces p WHERE length(m) >= {WINDOW} AND NOT regexp_matches(right(before, 40), '{_BEFORE}') AND {bits} >= {least} - 1e-9
+AND NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = p.doc_id AND x.a <= p.a AND p.a + length(m) <= x.b)),
 spans AS (SELECT doc_id, string_agg({names} || ':' || a || ':' || b, ',' ORDER BY a, k, b) AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY doc_id),
 own AS (SELECT doc_id, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, string_agg({names} || ':' || a || ':' || b, ',' ORDER BY a, k, b) AS s FROM base GROUP BY doc_id)
 SELECT doc_id, coalesce(n0, 0)::BIGINT AS n_assign, coalesce(n1, 0)::BIGINT AS n_access, coalesce(n2, 0)::BIGINT AS n_hex, sha256(coalesce(own.s, '')) AS base_sha256, coalesce(spans.s, '') AS spans
