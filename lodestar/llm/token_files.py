@@ -29,10 +29,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lodestar.llm.common import rounds, shuffle_partitions, tidy
+from lodestar.llm.bpe import AT_ONCE, ODD, ChunkMemo
+from lodestar.llm.common import slices, shuffle_partitions, tidy
 
 #: Bytes of text that are encoded at once.
-ENCODE_BYTES = 4_000_000
+ENCODE_BYTES = 16_000_000
 
 
 def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -41,20 +42,58 @@ def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
 
 
-class LibraryBPE:
-    """The tokenizers library's whole encoding."""
+class LibraryBPE(ChunkMemo):
+    """The tokenizers library's whole encoding, special tokens included, of each distinct chunk.
+
+    Many chunks are encoded in one go, a blank between them, and told apart by the bytes that their tokens
+    stand for; where these don't add up to the chunks' own, each chunk is encoded alone.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.width = 2 if max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else 4
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        alone = self.tokenizer.encode("a", add_special_tokens=False).ids
+        if self.tokenizer.encode("a a\t\na", add_special_tokens=False).ids != 3 * alone:
+            raise ValueError(f"{path} keeps white space in its tokens")
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = 2 if max(vocab.values(), default=0) < 1 << 16 else 4
+        #: Bytes that each token stands for: a byte letter each, but for the mark of a word's end.
+        end = self.tokenizer.model.end_of_word_suffix or ""
+        self.token_bytes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
+        for token, i in vocab.items():
+            self.token_bytes[i] = len(token.removesuffix(end))
+
+    def lengths(self, chunks: list[str]) -> np.ndarray:
+        """Bytes of each chunk when normalised; -1 if it has blanks then."""
+        sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        other = [i for i, c in enumerate(chunks) if not c.isascii()]
+        if other:
+            parts = self.tokenizer.normalizer.normalize_str(" ".join(chunks[i] for i in other)).split(" ")
+            sizes[other] = [len(p.encode()) for p in parts] if len(parts) == len(other) else -1
+        return sizes
+
+    def learn(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        odd, ids, sizes, order = [c for c in chunks if ODD.search(c)], [], [], []
+        plain = [c for c in chunks if not ODD.search(c)] if odd else chunks
+        for at in range(0, len(plain), AT_ONCE):
+            batch = plain[at : at + AT_ONCE]
+            found = np.array(self.tokenizer.encode_batch_fast([" ".join(batch)], add_special_tokens=False)[0].ids, dtype=np.int32)
+            lengths, ends = self.lengths(batch), np.concatenate(([0], np.cumsum(self.token_bytes[found])))
+            cuts = np.searchsorted(ends, np.cumsum(lengths))
+            if (lengths < 0).any() or lengths.sum() != ends[-1] or (ends[cuts] != np.cumsum(lengths)).any():
+                odd += batch
+                continue
+            order += batch
+            ids.append(found)
+            sizes.append(np.diff(cuts, prepend=0))
+        alone = [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+        ids.append(np.array(list(chain.from_iterable(alone)), dtype=np.int32))
+        sizes.append(np.array(list(map(len, alone)), dtype=np.int64))
+        return order + odd, np.concatenate(ids), np.concatenate(sizes)
 
 
 @lru_cache(maxsize=2)
@@ -97,15 +136,16 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, id_c
             for batch in chain([first], batches):
                 nulls += batch.column(0).null_count
                 ids.append(np.asarray(pc.fill_null(batch.column(0).cast(pa.int64()), 0)))
-                for _, texts in rounds(batch, 1, ENCODE_BYTES):
-                    for own in bpe.encode(texts):
-                        counts.append(np.array([len(own) + 1]))
-                        yield np.append(own, end_id).astype(f"<u{bpe.width}").tobytes()
+                for _, texts in slices(batch, 1, ENCODE_BYTES):
+                    own, cuts = bpe.encode_array(texts)
+                    counts.append(np.diff(cuts) + 1)
+                    yield np.insert(own, cuts[1:], end_id).astype(f"<u{bpe.width}").tobytes()
 
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
         _put(fs, f"{base}/{name}.tokens", tokens())
+        bpe.forget()
         offsets = np.cumsum(np.concatenate(counts))
         _put(fs, f"{base}/{name}.offsets", iter([offsets.astype("<u8").tobytes()]))
         _put(fs, f"{base}/{name}.ids", iter([np.concatenate(ids).astype("<i8").tobytes()]))
