@@ -13,25 +13,41 @@ travel as integers, so no text can turn into one on its way.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestar.llm.common import rounds, tidy
+from lodestar.llm.common import slices, tidy
 
-#: Raw texts are cut at ASCII white space, which no normaliser step joins and no piece holds.
-CHUNK = re.compile(r"[^\t-\r ]+")
+#: White space of other kinds, and what special tokens may begin with: such chunks are normalised one by one.
+ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000<]")
+#: Chunks that the library takes in one go.
+AT_ONCE = 4_096
 #: Characters of distinct chunks that a worker keeps; beyond, it starts anew.
-KEPT_CHARS = 4_000_000
+KEPT_CHARS = 6_000_000
 #: Bytes of text whose distinct pieces share one pair index.
-INDEX_BYTES = 3_000_000
+INDEX_BYTES = 8_000_000
+
+
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Makes many tuples without looks for cycles among them."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
 
 
 def byte_letters() -> list[str]:
@@ -41,11 +57,71 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-class PairIndexBPE:
-    """Encodes all new pieces of a round through one pair occurrence index and remembers chunks' ids.
+class Known:
+    """Ids of strings that are known, end to end in one array."""
+
+    def __init__(self) -> None:
+        self.place: dict[str | int, int] = {}
+        self.ids, self.sizes = np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64)
+
+    def add(self, keys: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys)), strict=True))
+        self.ids, self.sizes = np.concatenate((self.ids, ids)), np.concatenate((self.sizes, sizes))
+
+    def places(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, keys), dtype=np.int64, count=len(keys))
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at these places one after the other, and where each place's begin, with the end of the last."""
+        size = self.sizes[at]
+        cuts = np.concatenate(([0], np.cumsum(size)))
+        begin = (np.cumsum(self.sizes) - self.sizes)[at]
+        return self.ids[np.repeat(begin - cuts[:-1], size) + np.arange(cuts[-1])], cuts
+
+
+class ChunkMemo:
+    """Remembers the ids of chunks between ASCII white space, which no normaliser step joins and no token holds.
 
-    White space ends every piece, so a text's ids are those of its chunks one after the other. Takes
-    files whose pre-tokenizer drops white space and whose special tokens are taken as they stand.
+    So a text's ids are those of its chunks one after the other. Arrow cuts texts and finds the distinct
+    chunks, numpy lays their ids out; only distinct chunks become Python strings.
+    """
+
+    def __init__(self) -> None:
+        self.forget()
+
+    def learn(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """New chunks in an order of its own, their ids, and how many each has."""
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        self.known, self.kept = Known(), 0
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts as 32-bit integers, and where each text's begin, with the end of the last."""
+        if self.kept > KEPT_CHARS:
+            self.forget()
+        lists = pc.ascii_split_whitespace(texts)
+        chunks = lists.flatten().dictionary_encode()
+        words = chunks.dictionary.to_pylist()
+        new = [w for w in words if w not in self.known.place]
+        if new:
+            with no_cycles():
+                self.known.add(*self.learn(new))
+            self.kept += sum(map(len, new))
+        ids, cuts = self.known.take(self.known.places(words)[np.asarray(chunks.indices)])
+        places = np.asarray(lists.offsets, dtype=np.int64)
+        return ids, cuts[places - places[0]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit integers."""
+        ids, cuts = self.encode_array(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+class PairIndexBPE(ChunkMemo):
+    """Encodes all new pieces of a round through one pair occurrence index.
+
+    Takes files whose pre-tokenizer drops white space and whose special tokens are taken as they stand.
     """
 
     def __init__(self, path: str):
@@ -75,13 +151,11 @@ class PairIndexBPE:
         order = np.argsort(keys, kind="stable")
         self.keys, self.key_ranks = np.append(keys[order], np.iinfo(np.int64).max), np.append(order, self.n_ranks)
         letters = byte_letters()
-        self.byte_of = str.maketrans({x: chr(b) for b, x in enumerate(letters)})
+        self.byte_of = str.maketrans({x: chr(b) for b, x in enumerate(letters)} | {"\n": "\xff"})  # a line end is no byte letter
         self.inner = np.array([vocab[x] for x in letters], dtype=np.int64)
         self.last = np.array([vocab[x + self.end] for x in letters], dtype=np.int64)
-        #: The ids of chunks and, apart from these, of pieces.
-        self.ids_of: dict[str, bytes] = {}
-        self.piece_ids: dict[str, bytes] = {}
-        self.kept = 0
+        self.token_texts = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.string())
+        super().__init__()
 
     def pieces(self, chunk: str) -> list[str | int]:
         """A raw chunk's pieces in byte letters; a special token is its id."""
@@ -96,44 +170,60 @@ class PairIndexBPE:
         return out
 
     def forget(self) -> None:
-        self.ids_of.clear()
-        self.piece_ids.clear()
-        self.kept = 0
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 32-bit integers."""
-        if self.kept > KEPT_CHARS:
-            self.forget()
-        split = [CHUNK.findall(t) for t in texts]
-        new = {c: self.pieces(c) for c in set().union(*split) if c not in self.ids_of}
-        unknown = {p for some in new.values() for p in some if isinstance(p, str)} - self.piece_ids.keys()
-        if unknown:
-            self.learn(list(unknown))
-        for chunk, pieces in new.items():
-            self.ids_of[chunk] = b"".join(p.to_bytes(4, "little") if isinstance(p, int) else self.piece_ids[p] for p in pieces)
-        self.kept += sum(map(len, new)) + sum(map(len, unknown))
-        known = self.ids_of.__getitem__
-        return [b"".join(map(known, chunks)) for chunks in split]
+        super().forget()
+        #: Pieces, and special tokens under their ids.
+        self.known_pieces = Known()
+        special = np.array(sorted(self.special.values()), dtype=np.int32)
+        self.known_pieces.add(special.tolist(), special, np.ones(len(special), dtype=np.int64))
+
+    def all_pieces(self, chunks: list[str]) -> tuple[list[str], list[str | int], np.ndarray]:
+        """Chunks in an order of its own, the pieces of all, and how many each has; most chunks are normalised
+        and cut many at once, a blank between them."""
+        odd = [c for c in chunks if ODD.search(c)]
+        plain = [c for c in chunks if not ODD.search(c)] if odd else chunks
+        order, pieces, counts = [], [], []
+        for at in range(0, len(plain), AT_ONCE):
+            batch = plain[at : at + AT_ONCE]
+            whole = self.normalize(" ".join(batch))
+            lengths = np.array(list(map(len, whole.split(" "))))
+            if len(lengths) != len(batch):
+                odd += batch
+                continue
+            found = self.cut(whole)
+            starts = np.fromiter(chain.from_iterable(place for _, place in found), dtype=np.int64, count=2 * len(found))[::2]
+            counts.append(np.diff(np.searchsorted(starts, np.cumsum(lengths + 1)), prepend=0))
+            order += batch
+            pieces += [p for p, _ in found]
+        own = [self.pieces(c) for c in odd]
+        counts.append(np.array(list(map(len, own)), dtype=np.int64))
+        return order + odd, pieces + list(chain.from_iterable(own)), np.concatenate(counts)
+
+    def learn(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        order, pieces, counts = self.all_pieces(chunks)
+        if unknown := list(set(pieces).difference(self.known_pieces.place)):
+            self.known_pieces.add(unknown, *self.learn_pieces(unknown))
+        ids, cuts = self.known_pieces.take(self.known_pieces.places(pieces))
+        return order, ids, np.diff(cuts[np.concatenate(([0], np.cumsum(counts)))])
 
     def decode(self, ids: Iterable[int]) -> str:
         """The file has no decoder, so tokens are joined by a space; special ones stay."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
-    def learn(self, pieces: list[str]) -> None:
+    def decode_array(self, lists: pa.ListArray) -> pa.Array:
+        """The same of each list of ids."""
+        return pc.binary_join(pa.ListArray.from_arrays(lists.offsets, self.token_texts.take(lists.values)), " ")
+
+    def learn_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of new pieces one after the other, and how many each has."""
         # No byte of UTF-8 is 0xFF: it ends each piece, and no pair reaches over it.
-        data = np.frombuffer(b"".join(p.translate(self.byte_of).encode("latin-1") + b"\xff" for p in pieces), dtype=np.uint8)
+        data = np.frombuffer("\n".join([*pieces, ""]).translate(self.byte_of).encode("latin-1"), dtype=np.uint8)
         ends = np.flatnonzero(data == 0xFF)
         symbols = self.inner[data]
         symbols[ends - 1] = self.last[data[ends - 1]]
         symbols[ends] = -1
         self._merge(symbols)
         left = symbols >= 0
-        stops = np.cumsum(left)[ends].tolist()
-        ids = symbols[left].astype(np.int32).tobytes()
-        at = 0
-        for p, stop in zip(pieces, stops, strict=True):
-            self.piece_ids[p] = ids[4 * at : 4 * stop]
-            at = stop
+        return symbols[left].astype(np.int32), np.diff(np.cumsum(left)[ends], prepend=0)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair; no rank is the number of ranks."""
@@ -196,12 +286,6 @@ def model(path: str) -> PairIndexBPE:
     return PairIndexBPE(path)
 
 
-def int_lists(parts: list[bytes]) -> pa.ListArray:
-    offsets = np.zeros(len(parts) + 1, dtype=np.int32)
-    np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
-
-
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, token_ids array<int>, decoded string), one row for each row of ``docs``.
 
@@ -214,14 +298,10 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
         for batch in batches:
-            for at, texts in rounds(batch, 1, INDEX_BYTES):
-                ids = bpe.encode(texts)
-                lists = int_lists(ids)
-                decoded = [bpe.decode(np.frombuffer(x, dtype=np.int32).tolist()) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), lists, pa.array(decoded, pa.string())],
-                    names=["doc_id", "token_ids", "decoded"],
-                )
+            for at, texts in slices(batch, 1, INDEX_BYTES):
+                ids, cuts = bpe.encode_array(texts)
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists, bpe.decode_array(lists)], names=["doc_id", "token_ids", "decoded"])
         bpe.forget()
 
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))

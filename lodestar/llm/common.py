@@ -44,19 +44,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def rounds(batch: pa.RecordBatch, column: int, limit: int = ROUND_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of consecutive slices with about ``limit`` bytes of text each; null is ''."""
-    texts = batch.column(column)
-    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
-    ends = np.cumsum(sizes)
+def slices(batch: pa.RecordBatch, column: int, limit: int = ROUND_CHARS) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of consecutive slices with about ``limit`` bytes of text each, one row at least; null is ''."""
+    texts = pc.fill_null(batch.column(column), "")
+    ends = np.cumsum(np.asarray(pc.binary_length(texts), dtype=np.int64))
     at = 0
-    while at < len(sizes):
+    while at < len(ends):
         done = ends[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(ends, done + limit, side="right")))
-        yield at, [t or "" for t in texts.slice(at, stop - at).to_pylist()]
+        yield at, texts.slice(at, stop - at)
         at = stop
 
 
+def rounds(batch: pa.RecordBatch, column: int, limit: int = ROUND_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """The same as Python strings."""
+    for at, texts in slices(batch, column, limit):
+        yield at, texts.to_pylist()
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task's function that gives memory back when it ends: the worker stays for other operators' tasks."""
 
