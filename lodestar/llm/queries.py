@@ -103,7 +103,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts = toxicity.count_trigrams(docs)
-    return toxicity.score_texts(docs, counts, toxicity.learn_lexicon(docs, table(spark, sf_dir, "labels"), counts))
+    return toxicity.score_texts(docs, counts, toxicity.fit(docs, table(spark, sf_dir, "labels"), counts))
 
 
 def op10_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,7 +327,7 @@ def test_classifiers(spark, docs, none):
         assert quality_rules.apply_rules(rows, quality_rules.fit(rows, known)).count() == n
         got = nbsvm.score_texts(rows, nbsvm.fit(rows, known)).collect()
         counts = toxicity.count_trigrams(rows)
-        got += toxicity.score_texts(rows, counts, toxicity.learn_lexicon(rows, known, counts)).collect()
+        got += toxicity.score_texts(rows, counts, toxicity.fit(rows, known, counts)).collect()
         assert len(got) == 2 * n
         for r in got:
             assert 0 <= r["score"] <= 1 and r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
@@ -349,7 +349,7 @@ def test_deobfuscation(spark):
     hidden = {1000: "the 1d10t house", 1001: "the i d i o t house", 1002: "the idiiiiot house", 1003: "a m0r0n story", 1004: "a m.o.r.o.n story", 1005: "the garden 2024 river", 1006: "stone w1nter"}
     docs = make(spark, rows + list(hidden.items()))
     counts = toxicity.count_trigrams(docs)
-    model = toxicity.learn_lexicon(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), counts)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), counts)
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score_texts(docs, counts, model).collect()}
     assert [got[i] for i in range(1000, 1007)] == [1, 1, 1, 1, 1, 0, 0]
     assert all(got[i] == t for i, _, t in labels)
@@ -372,19 +372,70 @@ def test_deobfuscation_of_separators_and_doubled_letters(spark):
     fine = ["the coffee letter", "a i say what", "a id story", "what a i a house", "the river, i say"]
     docs = make(spark, rows + [(1000 + i, t) for i, t in enumerate(toxic)] + [(2000 + i, t) for i, t in enumerate(fine)])
     counts = toxicity.count_trigrams(docs)
-    model = toxicity.learn_lexicon(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), counts)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), counts)
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score_texts(docs, counts, model).collect()}
     assert [t for i, t in enumerate(toxic) if not got[1000 + i]] == [] and [t for i, t in enumerate(fine) if got[2000 + i]] == []
     assert all(got[i] == t for i, _, t in labels)
 
 
+def test_lattice_against_all_paths():
+    """The Viterbi search finds the likeliest of all paths, each scored from its start."""
+    import itertools
+
+    rng = np.random.default_rng(6)
+    restorer = toxicity.Restorer(rng.integers(0, 50, (toxicity.SYMBOLS,) * 3).astype(float) ** 2)
+
+    def best(token, joins):
+        choices, prior = [], ""
+        for c in token:
+            own = [(c, 0.0)] if c.isalpha() or c == " " else []
+            own += [(x, toxicity.LOOKALIKE_COST) for x in toxicity.LOOKALIKES.get(c, "")]
+            if c == " ":
+                own.append(("", joins))
+            elif c == prior:
+                own.append(("", toxicity.REPEAT_COST))
+            elif not c.isalpha():
+                own.append(("", toxicity.BLANK_COST if c in toxicity.LOOKALIKES else toxicity.NOTHING_COST))
+            prior = prior if c == " " else c
+            choices.append(own)
+        found = []
+        for path in itertools.product(*choices):
+            text, score, a, b = "".join(x for x, _ in path), sum(x for _, x in path), 0, 0
+            for c in [*text, " "]:
+                symbol = 0 if c == " " else restorer.fold(c)
+                score, a, b = score + restorer.log[a][b][symbol], b, symbol
+            found.append((score, text))
+        return max(found)
+
+    for _ in range(150):
+        token = "".join(rng.choice(list("abcdeoit10$!@ .-é"), int(rng.integers(1, 8))))
+        token = token + token[-1] if rng.random() < 0.5 else token
+        joins = float(rng.choice([0.0, -2.5]))
+        assert restorer.restore(token, joins) == best(token, joins)[1]
+
+
+def test_spellings_score_alike(spark):
+    """One word of the model in every disguise gives one score; a very long token is read too."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    counts = toxicity.count_trigrams(docs)
+    model = toxicity.fit(docs, labels, counts)
+    disguises = ["idiot", "IDIOT", "i d i o t", "iiidiiooot", "i  d  i  o  t", "i\nd\ni\no\nt", "idiiot", "iidioott", "id iot", "i/d/i/o/t", "i.d.i.o.t", "1d10t", "ID1OT!"]
+    rows = [(i, f"The of and the to in that the {x} is of the on there ") for i, x in enumerate(disguises)] + [(100, "The of and the to in that the people is of the on there "), (101, "a1" * 40_000)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_texts(make(spark, rows), counts, model).collect()}
+    assert all(got[i] == pytest.approx(got[0]) for i in range(len(disguises))) and got[0] > 10 * got[100] and 0 <= got[101] <= 1
+    known = toxicity.score_texts(docs, counts, model).where("held_out").join(labels, "doc_id").where("toxic is not null")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in known.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n[1, 1] >= 0.9 * (n[1, 1] + n.get((0, 1), 0))
+
+
 def test_accuracy_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     counts = toxicity.count_trigrams(docs)
     for label, rows, least in (
         ("quality", nbsvm.score_texts(docs, nbsvm.fit(docs, labels)), 0.98),
-        ("toxic", toxicity.score_texts(docs, counts, toxicity.learn_lexicon(docs, labels, counts)), 0.96),
+        ("toxic", toxicity.score_texts(docs, counts, toxicity.fit(docs, labels, counts)), 0.96),
     ):
         known = rows.where("held_out").join(labels, "doc_id").where(F.col(label).isNotNull())
         assert known.select(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0] >= least
