@@ -33,6 +33,8 @@ SUPPORT, LIFT = 3, 1.5
 #: Cost of a weight, and steps of the fit.
 SPARSITY, STEPS = 2e-4, 400
 LEAST_SCORE = 0.5
+#: Weight of a feature from which two tokens in a row may be read as one word for it.
+STRONG = 0.7
 BEGINNINGS = range(4, 8)
 #: Characters of distinct tokens that a worker keeps; beyond, it starts anew.
 KEPT_CHARS = 4_000_000
@@ -153,13 +155,13 @@ class Restorer:
         return found
 
     def split(self, chunks: list[str], weights: dict[str, float], heads: frozenset[str]) -> set[str]:
-        """The words that two tokens in a row make, where the first begins a feature that raises the score, the
-        word has such a feature beyond it, and one word is likelier than two."""
+        """The words that two tokens in a row make, where the first begins a strong feature, the word has such a
+        feature beyond it, and one word is likelier than two."""
         found: set[str] = set()
         for first, second in zip(chunks, chunks[1:]):  # noqa: B905
             if first in heads:
                 word = first + second.strip(EDGES + "!")
-                if WORDS.fullmatch(word) and any(weights.get(f, 0) > 0 and len(f) - f.endswith("*") > len(first) for f in features(word)):
+                if WORDS.fullmatch(word) and any(weights.get(f, 0) >= STRONG and len(f) - f.endswith("*") > len(first) for f in features(word)):
                     if self.restore(f"{first} {word[len(first):]}", SPLIT_COST) == word:
                         found.add(word)
         return found
@@ -200,21 +202,22 @@ class Reader:
 
 
 def _per_text(sample: DataFrame, counts: np.ndarray, wanted: dict[str, int] | None) -> DataFrame:
-    """(doc_id, label, feature, n) of each text of the sample, of the wanted features alone if there are any given."""
+    """(doc_id, feature, at, n) of each text of the sample, of the wanted features with their places alone if there are any given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(counts)
         for batch in batches:
-            for at, texts in rounds(batch, 2):
+            for at, texts in rounds(batch, 1):
                 found = [reader.text(t) for t in texts]
                 own = [[(f, n) for f, n in x.items() if wanted is None or f in wanted] for x in found]
                 size = np.array(list(map(len, own)), dtype=np.int64)
                 row = pa.array(np.repeat(np.arange(at, at + len(own)), size))
-                names, ns = pa.array([f for x in own for f, _ in x], pa.string()), pa.array([n for x in own for _, n in x], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), names, ns], names=["doc_id", "label", "feature", "n"])
+                names, ns = pa.array([f for x in own for f, _ in x], pa.string()), pa.array([n for x in own for _, n in x], pa.int32())
+                places = pa.array([-1 if wanted is None else wanted[f] for x in own for f, _ in x], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), names, places, ns], names=["doc_id", "feature", "at", "n"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    return sample.select("doc_id", "label", "text").mapInArrow(tidy(run), f"doc_id {kind}, label int, feature string, n long")
+    return sample.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, feature string, at int, n int")
 
 
 def _strength(n: np.ndarray) -> np.ndarray:
@@ -263,13 +266,12 @@ def fit(docs: DataFrame, labels: DataFrame, counts: np.ndarray, rows: int = SAMP
     elsewhere = {r["feature"]: r["n"] for r in support(_per_text(clean, counts, common)).collect()}
     chosen = sorted(f for f, n in common.items() if n / n_toxic >= LIFT * elsewhere.get(f, 0) / n_clean)
     place = {f: i for i, f in enumerate(chosen)}
-    ids = {r["doc_id"]: (i, r["label"]) for i, r in enumerate(sample.select("doc_id", "label").orderBy("doc_id").collect())}
-    found = _per_text(sample, counts, place).select("doc_id", "feature", "n").toPandas()
-    row = found["doc_id"].map(lambda i: ids[i][0]).to_numpy(np.int64)
-    column = found["feature"].map(place).to_numpy(np.int64)
+    numbered = sample.select("doc_id", "label").orderBy("doc_id").toPandas()
+    found = _per_text(sample, counts, place).select("doc_id", "at", "n").toPandas()
+    row, column = np.searchsorted(numbered["doc_id"].to_numpy(), found["doc_id"].to_numpy()), found["at"].to_numpy(np.int64)
     order = np.lexsort((column, row))  # sums don't depend on the order of tasks
-    y = np.array([float(label == 1) for _, label in ids.values()])
-    w, b = fit_sparse(row[order], column[order], _strength(found["n"].to_numpy(np.float64))[order], y, len(chosen))
+    values = _strength(found["n"].to_numpy(np.float64))[order]
+    w, b = fit_sparse(row[order], column[order], values, (numbered["label"] == 1).to_numpy(np.float64), len(chosen))
     return {"weights": {f: float(x) for f, x in zip(chosen, w, strict=True) if x}, "intercept": b}
 
 
@@ -286,8 +288,7 @@ def score_texts(docs: DataFrame, counts: np.ndarray, model: dict, id_col: str =
         restorer, weights = Restorer(counts), model["weights"]
         places = {f: i for i, f in enumerate(weights)}
         weight = np.array(list(weights.values()))
-        raising = {f for f, x in weights.items() if x > 0}
-        heads = frozenset(f[:k] for f in raising for k in range(1, len(f) - f.endswith("*")))
+        heads = frozenset(f[:k] for f, x in weights.items() if x >= STRONG for k in range(1, len(f) - f.endswith("*")))
         #: Features of tokens that have any, and all tokens that were looked at.
         hot: dict[str, tuple[int, ...]] = {}
         seen: set[str] = set()
