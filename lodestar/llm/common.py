@@ -23,16 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` names it; only where that is unset (a local session) is a
-    temporary folder taken and set.
+    ``spark.checkpoint.dir`` names it; where that is unset a temporary folder is taken and set, but only
+    in a session without executors of its own. On a cluster it raises, as executors wouldn't see that folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lodestar-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/lodestar-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that no later step reads, on whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Cuts the lineage: the rows as a Parquet table in the shared folder, read back."""
     path = f"{folder}/{name}"

@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import LOWER, rounds, shared_dir, shuffle_partitions, span_hashes, tidy, written
 
 COORDINATES, MATCHES = 32, 12
-SHINGLE_WORDS = 4
+#: Words of a shingle where a caller names no other.
+SHINGLE_WORDS = 5
 #: Links have 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 80
 #: Classes of one posting list that are compared with as many others in one go, and the length of lists

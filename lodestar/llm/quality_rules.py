@@ -129,4 +129,5 @@ def keep_good(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame
                 yield batch.slice(at, len(texts)).filter(kept)
 
     column = docs.columns.index(text_col)
-    return docs.mapInArrow(tidy(run), docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots or twice in the table can't go by name
+    return plain.mapInArrow(tidy(run), plain.schema).toDF(*docs.columns)

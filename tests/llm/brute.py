@@ -47,7 +47,7 @@ def contamination(docs: list[str | None], items: list[tuple[int, str | None]]) -
     return out
 
 
-def near(docs: list[tuple[int, str | None]], width: int = 4) -> dict[int, tuple]:
+def near(docs: list[tuple[int, str | None]], width: int = 5) -> dict[int, tuple]:
     sets = {}
     for i, text in docs:
         w = WORD.findall((text or "").translate(UP))

@@ -55,3 +55,35 @@ def test_dedup_takes_five_words(spark, sf):
     docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf).collect()}
     assert got == {i for i, x in brute.near(rows, 5).items() if x[2]} == {0, 1, 3}
+
+
+def test_stages_on_edge_rows(spark, sf):
+    """Nulls, empty and long texts, repeated rows, clashing names and an empty table, for every stage."""
+    good = " ".join(f"word{i} and{i * 7 % 31} then{i}" for i in range(40))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 200").first()["text"]
+    key = "password = " + "Zq7RtYP9XyQ9Lm2P"
+    texts = [
+        (1, good), (2, good), (2, good), (3, None), (4, ""), (None, good + " " + key), (None, good), (None, item), (5, item), (6, "x " * 50_000), (7, key), (7, "other " + key),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, secret_spans string, spans string, kept_id long, hit_key string, n long, `a.b` int"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "mine", "own", 5, "h", 6, 7) for i, t in texts], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, sf)
+        got, none = found.collect(), stage(spark, docs.limit(0), sf)
+        assert none.count() == 0 and none.schema == found.schema
+        if name == "bpe":
+            assert len(got) == len(texts) and all(r["n_tokens"] == len(r["token_ids"]) for r in got)
+            continue
+        assert found.columns == docs.columns
+        assert all((r["secret_spans"], r["spans"], r["kept_id"], r["hit_key"], r["n"], r["a.b"]) == ("mine", "own", 5, "h", 6, 7) for r in got)
+        kept = sorted(((r["doc_id"], r["text"]) for r in got), key=str)
+        if name == "near_dedup":
+            want = [(1, good), (3, None), (4, ""), (None, good + " " + key), (None, good), (None, item), (5, item), (6, "x " * 50_000), (7, key), (7, "other " + key)]
+            assert kept == sorted(want, key=str)
+        if name == "decontamination":
+            assert kept == sorted(((i, t) for i, t in texts if t != item), key=str)
+        if name == "secret_scans":
+            assert kept == sorted(((i, t and t.replace(key, "[SECRET]")) for i, t in texts), key=str)
+            assert all(r["n_chars"] == len(r["text"] or "") for r in got)
+        if name == "quality_rules":
+            assert not {3, 4, 6, 7} & {i for i, _ in kept} and sum(t == good for _, t in kept) in (0, 4)

@@ -74,7 +74,7 @@ def test_decontamination(spark, sf, docs):
 
 
 def test_near_dedup(spark, sf, docs):
-    got, want = rows(spark, sf, "op6_near_dedup"), brute.near(docs)
+    got, want = rows(spark, sf, "op6_near_dedup"), brute.near(docs, 4)
     assert {i: tuple(r[1:]) for i, r in got.items()} == want
 
 
