@@ -8,11 +8,16 @@
    them among the rarest (all but MATCHES - 1) of each, so only this prefix is merged.
 3. Stars: each class meets, in each posting list of its prefix, the list's first class. The pair with
    most collisions is confirmed on the full sets.
-4. Lists whose classes are not yet all in one component are merged in full, in tiles of bounded size:
-   pairs of different components with MATCHES collisions or more are confirmed too, those of long
-   lists inside the tile, from where only links go on that join two components. So a large group
-   takes one link for each copy, no rows for its pairs, and no link is lost that joins components.
-5. Components come from large-star and small-star steps.
+4. Short lists whose classes are not yet all in one component are merged in full.
+5. Classes of longer ones, as texts on one template are, are posted again under the rarest shingles of their
+   full sets: two sets that are similar enough share one among the first fifth of the larger and the first
+   ninth of the smaller. What only the template gives two texts comes after these, so classes meet where they
+   can be linked. A list is dropped where all classes are in one component, or all meet in another list before;
+   a short list gives its pairs, a longer one is merged in tiles of bounded size, where only classes outside the
+   list's main component are compared, and only links that join two components go on. So a large
+   group takes one link for each copy, no rows for its pairs, and no link is lost that joins components.
+   Everywhere pairs have MATCHES collisions and fitting sizes first and are confirmed on the full sets.
+6. Components come from large-star and small-star steps.
 
 A pair of similarity 0.8 has fewer than MATCHES collisions with a probability of 3e-8.
 """
@@ -37,6 +42,8 @@ SIMILARITY = 80
 #: Classes of one posting list that are compared with as many others in one go, and the length of lists
 #: whose pairs are passed on; those of longer ones are confirmed where the list lies.
 TILE, SHORT_LIST = 2_048, 32
+#: Counts that stand for the shingles' frequencies: they only set the order in which shingles count as rare.
+FREQUENCIES = 1 << 17
 
 _rng = np.random.default_rng(9_176)
 _SLOPE = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -165,28 +172,40 @@ class _List:
 
     def __init__(self, group: tuple, held: list):
         self.key, self.low, self.high = group
-        tile, self.fp, sig, n, mask, root, *self.sets = zip(*held, strict=True)
+        tile, self.fp, sig, n, root, *self.more = zip(*held, strict=True)
         roots = {r: i for i, r in enumerate(dict.fromkeys(root))}
         self.sigs = np.frombuffer(b"".join(sig), dtype="<u4").reshape(-1, COORDINATES)
-        self.tiles, self.sizes, self.masks = np.array(tile), np.array(n), np.array(mask)
+        self.tiles, self.sizes = np.array(tile), np.array(n)
         self.comps = np.array([roots[r] for r in root])
+        self.minor = self.comps != np.bincount(self.comps).argmax()
+
+    def here(self, i: int, others: np.ndarray, same: np.ndarray) -> np.ndarray:
+        """Which of the others are to be compared with class i in this list; ``same`` are their equal coordinates."""
+        raise NotImplementedError
+
+    def facing(self) -> Iterator[tuple[int, np.ndarray]]:
+        """All pairs of components but the main one with itself: each class outside it, and those that it meets."""
+        every = np.arange(len(self.fp))
+        if self.low == self.high:
+            for i in np.flatnonzero(self.minor).tolist():
+                yield i, every[~self.minor | (every > i)]
+            return
+        left, right = (np.flatnonzero(self.tiles == t) for t in (self.low, self.high))
+        for i in left[self.minor[left]].tolist():
+            yield i, right
+        for i in right[self.minor[right]].tolist():
+            yield i, left[~self.minor[left]]
 
     def candidates(self) -> Iterator[tuple[int, np.ndarray]]:
-        """For each class those after it that are of another component, of fitting size, and have MATCHES
-        collisions, of which this list's is the lowest that both prefixes hold."""
-        bits, bit = np.int64(1) << np.arange(COORDINATES, dtype=np.int64), np.int64(1) << np.int64(self.key >> 32)
-        alone = self.low == self.high
-        other_tile = np.flatnonzero(self.tiles == self.high)
-        for i in range(len(self.fp)) if alone else np.flatnonzero(self.tiles == self.low):
-            others = np.arange(i + 1, len(self.fp)) if alone else other_tile
+        """Each class with those of other components that are of fitting size and have MATCHES collisions."""
+        for i, others in self.facing():
             small, large = np.minimum(self.sizes[others], self.sizes[i]), np.maximum(self.sizes[others], self.sizes[i])
             others = others[(self.comps[others] != self.comps[i]) & (100 * small >= SIMILARITY * large)]
             if len(others):
                 same = self.sigs[others] == self.sigs[i]
-                met = (same @ bits) & self.masks[others] & self.masks[i]
-                others = others[(same.sum(axis=1) >= MATCHES) & ((met & -met) == bit)]
+                others = others[(same.sum(axis=1) >= MATCHES) & self.here(i, others, same)]
                 if len(others):
-                    yield int(i), others
+                    yield i, others
 
     def pairs(self) -> Iterator[tuple[bytes, bytes]]:
         for i, others in self.candidates():
@@ -196,7 +215,7 @@ class _List:
     def links(self) -> Iterator[tuple[bytes, bytes]]:
         """Confirmed on the full sets, which are counted through an inverted index of the list's own; a
         link inside what is one component by then isn't given."""
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in self.sets[0]]
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in self.more[-1]]
         lengths = np.array([len(x) for x in sets])
         flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
         order = np.argsort(flat, kind="stable")
@@ -212,10 +231,72 @@ class _List:
                     yield self.fp[i], self.fp[j]
 
 
-def _by_list(rows: DataFrame, confirm: bool) -> DataFrame:
+class _CoordinateList(_List):
+    """Holds each class's mask of the coordinates in its prefix."""
+
+    def here(self, i: int, others: np.ndarray, same: np.ndarray) -> np.ndarray:
+        bits, masks = np.int64(1) << np.arange(COORDINATES, dtype=np.int64), np.array(self.more[0])
+        met = (same @ bits) & masks[others] & masks[i]
+        return (met & -met) == np.int64(1) << np.int64(self.key >> 32)  # the lowest that both prefixes hold
+
+
+class _ShingleList(_List):
+    """Holds the first open list of each class, and whether the shingle stands among the first of a smaller set."""
+
+    def __init__(self, group: tuple, held: list):
+        super().__init__(group, held)
+        self.leads, self.early = np.array(self.more[0]), np.array(self.more[1])
+
+    def here(self, i: int, others: np.ndarray, same: np.ndarray) -> np.ndarray:
+        smaller = (self.early[others] & (self.sizes[others] <= self.sizes[i])) | (self.early[i] & (self.sizes[others] >= self.sizes[i]))
+        before = (self.leads[others] == self.leads[i]) & (self.leads[i] != self.key)  # they meet there
+        return smaller & ~before
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur in the sets, by their last bits; FREQUENCIES sums reach the driver, however many sets there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FREQUENCIES, dtype=np.int64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                own = np.frombuffer(b"".join(batch.column(0).slice(a, 500).to_pylist()), dtype=np.uint64)
+                total += np.bincount((own % FREQUENCIES).astype(np.int64), minlength=FREQUENCIES)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    found = sets.select("shingles").mapInArrow(tidy(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(FREQUENCIES, dtype=np.int64)
+    total[np.asarray(found.column("slot"))] = np.asarray(found.column("n"))
+    return total
+
+
+def _rare_shingles(sets: DataFrame, frequencies: np.ndarray) -> DataFrame:
+    """(key, fp, place, early): the shingles by which a set meets others, rarest first; ``early`` for those by which it meets larger ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2_000):
+                part = batch.slice(a, 2_000)
+                keys, places, early = [], [], []
+                for x in part.column(1):
+                    own = np.frombuffer(x.as_buffer(), dtype=np.uint64)
+                    n = len(own)
+                    order = np.lexsort((own, frequencies[(own % FREQUENCIES).astype(np.int64)]))
+                    length = n + (-SIMILARITY * n) // 100 + 1  # all but the least overlap with a set no larger, and one
+                    keys.append(own[order[:length]].view(np.int64))
+                    places.append(np.arange(length, dtype=np.int32))
+                    early.append(places[-1] < n + (-2 * SIMILARITY * n) // (100 + SIMILARITY) + 1)
+                rows = pa.array(np.repeat(np.arange(part.num_rows), list(map(len, keys))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column(0).take(rows), pa.array(np.concatenate(places)), pa.array(np.concatenate(early))], names=["key", "fp", "place", "early"])
+
+    return sets.select("fp", "shingles").mapInArrow(tidy(run), "key long, fp binary, place int, early boolean")
+
+
+def _by_list(rows: DataFrame, kind: type[_List], more: list[str], confirm: bool) -> DataFrame:
     """(a, b): candidates of each list, or with ``confirm`` links. Rows hold key, low, high, tile, fp, sig,
-    n, mask, root, and then shingles; a task sees one list after the other and holds one at a time."""
-    names = ["key", "low", "high", "tile", "fp", "sig", "n", "mask", "root", *(["shingles"] if confirm else [])]
+    n, root, what the kind of list holds, and then shingles; a task sees one list after the other and holds one at a time."""
+    names = ["key", "low", "high", "tile", "fp", "sig", "n", "root", *more, *(["shingles"] if confirm else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
@@ -223,7 +304,7 @@ def _by_list(rows: DataFrame, confirm: bool) -> DataFrame:
         def found() -> list[tuple[bytes, bytes]]:
             if len(held) < 2:
                 return []
-            own = _List(group, held)
+            own = kind(group, held)
             return [tuple(sorted(p)) for p in (own.links() if confirm else own.pairs())]
 
         def frame(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -288,15 +369,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = members.join(roots, members["fp"] == roots["node"], "left").select("fp", "sig", "n", "mask", "keys", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, folder, "rooted")
     lists = rooted.select(F.explode("keys").alias("key"), "root").groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("first"), F.max("root").alias("last"))
-    lists = lists.where("first != last").select("key", "size", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    lists = lists.where("first != last").select("key", "size")
     lists = written(lists, folder, "open_lists")
     rows = rooted.select(F.explode("keys").alias("key"), "fp", "sig", "n", "mask", "root")
-    short = rows.join(lists.where(F.col("size") <= SHORT_LIST), "key").select("*", *(F.lit(0).alias(x) for x in ("tile", "low", "high")))
-    late = written(_by_list(short, confirm=False).distinct(), folder, "late_pairs")
-    long = rows.join(lists.where(F.col("size") > SHORT_LIST), "key").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")).join(sets, "fp")
+    whole = [F.lit(0).alias(x) for x in ("tile", "low", "high")]
+    short = rows.join(lists.where(F.col("size") <= SHORT_LIST), "key").select("*", *whole)
+    late = _by_list(short, _CoordinateList, ["mask"], confirm=False)
+
+    wide = rows.join(lists.where(F.col("size") > SHORT_LIST), "key").select("fp").distinct()
+    wide = written(rooted.select("fp", "sig", "n", "root").join(wide, "fp").join(sets, "fp"), folder, "wide")
+    posts = written(_rare_shingles(wide, _frequencies(wide)).join(wide.select("fp", "root"), "fp"), folder, "rare")
+    sizes = posts.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("first"), F.max("root").alias("last"), F.max("early").alias("any_early"))
+    open_posts = posts.join(sizes.where("size > 1 and first != last and any_early").select("key", "size"), "key")
+    leads = open_posts.groupBy("fp").agg(F.min(F.struct("place", "key")).alias("least")).select("fp", F.col("least.key").alias("lead"))
+    led = written(open_posts.join(leads, "fp").select("key", "size", "fp", "lead", "early"), folder, "led")
+    elsewhere = led.groupBy("key").agg(F.min("lead").alias("first"), F.max("lead").alias("last")).where("first = last and first != key").select("key")
+    led = led.join(elsewhere, "key", "left_anti")
+    short = led.where(F.col("size") <= SHORT_LIST).join(wide.drop("shingles"), "fp").select("*", *whole)
+    late = written(late.unionByName(_by_list(short, _ShingleList, ["lead", "early"], confirm=False)).distinct(), folder, "late_pairs")
+    long = led.where(F.col("size") > SHORT_LIST).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).join(wide, "fp")
+    long = long.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     long = long.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     long = long.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
-    late_links = _confirmed(late, sets).unionByName(_by_list(long, confirm=True))
+    late_links = _confirmed(late, sets).unionByName(_by_list(long, _ShingleList, ["lead", "early"], confirm=True))
     roots = components(links.unionByName(late_links), folder, "components")
 
     # only classes of several documents or with links need another id than the document's own

@@ -217,6 +217,37 @@ def test_near_dedup_of_large_groups(spark, monkeypatch):
     assert got == brute.near(rows)
 
 
+def template_texts(n, rng):
+    """Texts of which three fifths are one template; each tenth has a near copy and a few differ in size."""
+    template = [f"t{i}" for i in range(120)]
+    texts = []
+    for i in range(n):
+        own = [f"o{i}_{j}" for j in range(80 + i % 3)]
+        texts.append([*own[:40], *template, *own[40:]])
+        if i % 10 == 0:
+            copy = list(texts[-1])
+            copy[int(rng.integers(0, 40))] = f"c{i}"
+            texts.append(copy)
+    return [" ".join(x) for x in texts]
+
+
+def test_near_dedup_of_templates(spark, monkeypatch):
+    """Texts on one template meet in long lists, but are compared only with what can be linked."""
+    from lodestar.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "SHORT_LIST", 8)
+    compared = {}
+    for n in (150, 600):
+        rows = list(enumerate(template_texts(n, np.random.default_rng(n))))
+        sets = {i: near_dedup.shingle_set(t) for i, t in rows}
+        wide = spark.createDataFrame([(str(i).encode(), s.tobytes()) for i, s in sets.items()], "fp binary, shingles binary")
+        posts = near_dedup._rare_shingles(wide, near_dedup._frequencies(wide)).groupBy("key").agg(F.count("*").alias("n"), F.max("early").alias("early"))
+        compared[n] = posts.where("early and n > 1").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+        got = {r["doc_id"]: tuple(r)[1:] for r in near_duplicates(make(spark, rows)).collect()}
+        assert got == brute.near(rows) and sum(not x[2] for x in got.values()) == n // 10
+    assert compared[600] < 6 * compared[150]
+
+
 def test_secrets(spark, docs, none):
     got = secrets.scan_secrets(docs)
     assert got.columns == docs.columns and secrets.scan_secrets(none).count() == 0
