@@ -1,8 +1,8 @@
 """Indexes with the life cycle of a library: make, add, query, delete, save, load.
 
-An index is a table of graph nodes, one graph for each part of the labels. A change rewrites the
-touched parts only and writes a new version to the shared folder, so lineage stays short and a lost
-executor costs a re-read.
+An index is a table of graph nodes, one graph for each part of the labels. A change computes the
+touched parts only, but writes a whole new version to the shared folder, so lineage stays short and a
+lost executor costs a re-read; changes are best made many at a time.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.distance import distance
 from lodestar.operators.flat import flat_topk, require_k
 from lodestar.operators.graph import PART_ROWS, SCHEMA, _frame, graph_of, search_graphs
-from lodestar.operators.hnsw import Graph, StopRule
+from lodestar.operators.hnsw import Collector, Graph
 from lodestar.sources.shared import shared_folder
 
 SPACES = ("l2", "ip", "cosine")
@@ -133,6 +133,25 @@ class VectorIndex:
         if max_elements < self.get_current_count():
             raise ValueError("the new limit is below the number of elements")
         self.params.max_elements = max_elements
+        parts = max(1, -(-max_elements // PART_ROWS))
+        if parts > self.params.parts:
+            self._deal(parts)
+
+    def _deal(self, parts: int) -> None:
+        """Builds the graphs anew in more parts, so that no part outgrows a task."""
+        self.params.parts = parts
+        p, options = self.params, self._options()
+        rows = self.graphs.select(F.col("label").alias("id"), "vec", "deleted").withColumn("part", self._part(F.col("id")))
+
+        def build(own: pd.DataFrame) -> pd.DataFrame:
+            g = Graph(p.dim, p.space, **options)
+            for label, vec in own.sort_values("id")[["id", "vec"]].itertuples(index=False):
+                g.add(np.asarray(vec), int(label))
+            for label in own.loc[own["deleted"], "id"]:
+                g.mark_deleted(int(label))
+            return _frame(own["part"].iloc[0], g)
+
+        self._write(rows.groupBy("part").applyInPandas(build, SCHEMA))
 
     def set_ef(self, ef: int) -> None:
         self.params.ef = ef
@@ -148,19 +167,26 @@ class VectorIndex:
     def get_ids_list(self) -> DataFrame:
         return self._ready().select(F.col("label").alias("id"))
 
-    def get_items(self, ids: DataFrame) -> DataFrame:
-        """(id, vec) of the rows of ``ids(id)``; a missing or deleted one raises."""
+    def get_items(self, ids: DataFrame, return_type: str = "table") -> DataFrame | np.ndarray | list:
+        """(id, vec) of the rows of ``ids(id)``; a missing or deleted one raises. ``return_type`` 'numpy' and 'list'
+        bring the vectors to the driver, in the order of id."""
+        if return_type not in ("table", "numpy", "list"):
+            raise ValueError("return_type must be table, numpy or list")
         live = self._ready().where(~F.col("deleted")).select(F.col("label").alias("id"), "vec")
         if missing := ids.join(live, "id", "left_anti").limit(1).collect():
             raise KeyError(f"label {missing[0]['id']} not found")
-        return ids.select("id").join(live, "id")
+        found = ids.select("id").join(live, "id")
+        if return_type == "table":
+            return found
+        vectors = [r["vec"] for r in found.orderBy("id").collect()]
+        return vectors if return_type == "list" else np.array(vectors, dtype=np.float32).reshape(-1, self.dim)
 
     def knn_query(self, queries: DataFrame, k: int = 1, where: Column | None = None, strict: bool = True) -> DataFrame:
         """(qid, id, dist, rank); raises under ``strict`` if a query finds fewer than k. ``where`` is over ``label``."""
         found = search_graphs(self._ready(), queries, k, self.dim, self.space, max(self.params.ef, k), where=where)
         return require_k(found, queries, k) if strict else found
 
-    def search_until(self, queries: DataFrame, rule: StopRule, k: int) -> DataFrame:
+    def search_until(self, queries: DataFrame, rule: Collector, k: int) -> DataFrame:
         return search_graphs(self._ready(), queries, k, self.dim, self.space, rule=lambda _: rule)
 
     # keeping

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.operators.hnsw import Documents, Graph, StopRule
+from lodestar.operators.hnsw import Collector, Documents, Graph
 from lodestar.operators.kmeans import partition_centroids
 from lodestar.operators.scan import query_blocks, ranked
 
@@ -55,11 +55,11 @@ def graph_of(rows: pd.DataFrame, dim: int, metric: str, **options) -> Graph:
     return Graph.of_rows(rows[["node", "label", "level", "deleted", "entry", "vec", "links"]].itertuples(index=False, name=None), dim, metric=metric, **options)
 
 
-def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, dim: int, metric: str = "ip", ef: int = 100, parts: DataFrame | None = None, where: Column | None = None, rule: Callable[[pd.DataFrame], StopRule] | None = None, each: int | None = None) -> DataFrame:
+def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, dim: int, metric: str = "ip", ef: int = 100, parts: DataFrame | None = None, where: Column | None = None, rule: Callable[[pd.DataFrame], Collector] | None = None, each: int | None = None) -> DataFrame:
     """(qid, id, dist, rank): every part's graph is searched for ``each`` (k if none) rows, and the best k are kept.
 
     ``parts(qid, part)`` says which parts a query searches, all if none. ``where`` is a predicate on
-    the nodes' columns; nodes that don't fit are passed through. ``rule`` makes another stop rule from a
+    the nodes' columns; nodes that don't fit are passed through. ``rule`` makes another collector from a
     part's nodes, which may have further columns.
     """
     flagged = graphs.withColumn("allowed", F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
@@ -114,8 +114,8 @@ def search_cost(graphs: DataFrame, queries: DataFrame, k: int, dim: int, metric:
     return reduce(DataFrame.union, blocks)
 
 
-def documents_rule(num_docs: int, ef: int = 10) -> Callable[[pd.DataFrame], StopRule]:
-    """The stop rule of a search by documents over nodes that have a column ``doc_id``."""
+def documents_rule(num_docs: int, ef: int = 10) -> Callable[[pd.DataFrame], Collector]:
+    """The collector of a search by documents over nodes that have a column ``doc_id``."""
     return lambda rows: Documents(num_docs, dict(zip(rows["label"], rows["doc_id"], strict=True)), ef)
 
 

@@ -8,7 +8,7 @@ from lodestar.api import FlatIndex, LazyIndex, VectorIndex
 from lodestar.operators import evaluate, flat, graph, ivf, kmeans, partition
 from lodestar.operators import product_quantization as pq
 from lodestar.operators import scalar_quantization as sq
-from lodestar.operators.hnsw import Documents, Graph, StopRule, Within
+from lodestar.operators.hnsw import Documents, Graph, Nearest, Within
 from lodestar.sources.vecfiles import from_numpy, read_vectors, write_fbin
 from pyspark.sql import functions as F
 
@@ -188,7 +188,7 @@ def test_graph_finds_what_exact_search_finds(points):
     docs = {i: i // 5 for i in range(600)}
     found = g.search_until(data[0], Documents(4, docs, 40))
     assert len({docs[x] for _, x in found}) == 4
-    assert g.search_until(data[0], StopRule(3))[0][1] == 0
+    assert g.search_until(data[0], Nearest(3))[0][1] == 0
 
 
 def test_graph_deletes_updates_and_reuses(points):
@@ -313,3 +313,78 @@ def test_streaming_upserts(spark, points, tmp_path):
     index = FlatIndex(spark, "l2", 8)
     ingest(spark.readStream.schema(base.schema).parquet(folder), index, str(tmp_path / "check")).awaitTermination()
     assert index.rows.count() == 30
+
+
+def test_collectors_against_all_rows():
+    """Searches that may visit every node find what sorting all of them finds."""
+    rng = np.random.default_rng(12)
+    data = rng.random((300, 6))
+    g = Graph(6, "l2", M=8, ef_construction=60)
+    for i, v in enumerate(data):
+        g.add(v, i)
+    docs = {i: i // 4 for i in range(300)}
+    for q in rng.random((10, 6)):
+        exact = sorted((float(((q - v) ** 2).sum()), i) for i, v in enumerate(data))
+        label = lambda rows: [i for _, i in rows]
+        assert label(g.search(q, 10, 300)) == label(exact[:10])
+        assert label(g.search_until(q, Within(0.3, 300, 300))) == [i for d, i in exact if d <= 0.3]
+        assert label(g.search_until(q, Within(0.3, 300, 5))) == [i for d, i in exact if d <= 0.3][:5]
+        seen, want = set(), []
+        for _, i in exact:
+            seen.add(docs[i])
+            if len(seen) > 3:
+                break
+            want.append(i)
+        assert label(g.search_until(q, Documents(3, docs, 75))) == want
+
+
+def test_moved_rows_are_found_and_links_stay_whole():
+    rng = np.random.default_rng(13)
+    data = rng.random((400, 8))
+    g = Graph(8, "l2", M=8, ef_construction=60)
+    for i, v in enumerate(data):
+        g.add(v, i)
+    for i in [g.labels[g.entry], *range(0, 400, 3)]:
+        data[i] = rng.random(8)
+        g.add(data[i], i)
+    g.mend()
+    assert g.check() == [] and len(g) == 400
+    assert np.mean([g.search(v, 1, 60)[0][1] == i for i, v in enumerate(data)]) > 0.99
+
+
+def test_broken_graph_is_reported(spark):
+    """Each kind of damage on any level shows in the table's check."""
+    from lodestar.operators import graph
+
+    rng = np.random.default_rng(14)
+    g = Graph(4, "l2", M=2, ef_construction=20)
+    for i, v in enumerate(rng.random((120, 4))):
+        g.add(v, i)
+    g.mend()
+    whole = spark.createDataFrame(graph._frame("0", g))
+    assert graph.broken_links(whole).count() == 0
+    high = next(s for s in range(120) if g.levels[s] > 0 and g.links[s][1])
+    g.links[high][1] = [high, *g.links[high][1][:1], *g.links[high][1][:1]]
+    lost = next(s for s in range(120) if s != high)
+    for levels in g.links:
+        levels[0] = [s for s in levels[0] if s != lost]
+    found = {(r["node"], r["problem"]) for r in graph.broken_links(spark.createDataFrame(graph._frame("0", g))).collect()}
+    assert found == {(high, "links to itself on level 1"), (high, "repeated link on level 1"), (lost, "no way in")}
+
+
+def test_resize_deals_out_more_parts(spark, monkeypatch):
+    from lodestar import api
+
+    monkeypatch.setattr(api, "PART_ROWS", 50)
+    rng = np.random.default_rng(15)
+    data = rng.random((90, 4)).astype(np.float32)
+    index = api.VectorIndex(spark, "l2", 4).init_index(50)
+    index.add_items(data[:50])
+    index.mark_deleted(3)
+    index.resize_index(100)
+    index.add_items(data[50:], ids=np.arange(50, 90))
+    assert index.get_current_count() == 90 and index.graphs.select("part").distinct().count() == 2
+    ids = spark.createDataFrame([(1,), (60,)], "id long")
+    assert np.allclose(index.get_items(ids, "numpy"), data[[1, 60]]) and len(index.get_items(ids, "list")) == 2
+    queries = spark.createDataFrame([(i, data[i].tolist()) for i in (1, 60)], "qid long, qvec array<float>")
+    assert {(r["qid"], r["id"]) for r in index.knn_query(queries, 1).collect()} == {(1, 1), (60, 60)}
