@@ -69,16 +69,30 @@ def rerank(shortlist: DataFrame, base: DataFrame, queries: DataFrame, k: int, me
     return ranked(pairs.select("qid", "id", distance(metric).column(F.col("qvec"), F.col("vec")).alias("dist")), k)
 
 
-def epsilon_search(base: DataFrame, queries: DataFrame, epsilon: float, max_candidates: int, min_candidates: int = 0, metric: str | Distance = "l2") -> DataFrame:
-    """All rows within ``epsilon`` (inclusive, of the raw distance), at most ``max_candidates`` of each query.
+def epsilon_search(base: DataFrame, queries: DataFrame, epsilon: float, max_candidates: int | None = None, min_candidates: int = 0, metric: str = "l2", block: int = QUERY_BLOCK) -> DataFrame:
+    """(qid, id, dist, rank): all rows within ``epsilon`` (inclusive, of the raw distance), or the nearest ``max_candidates`` of them.
 
     ``min_candidates`` belongs to graph searches, which look at as many before they stop; exact
     search looks at all.
     """
-    if not 0 <= min_candidates <= max_candidates:
-        raise ValueError("0 <= min_candidates <= max_candidates")
-    # partitions keep max_candidates each, so the radius can be applied after
-    return flat_topk(base, queries, max_candidates, metric).where(F.col("dist") <= epsilon)
+    if max_candidates is not None:
+        if not 0 <= min_candidates <= max_candidates:
+            raise ValueError("0 <= min_candidates <= max_candidates")
+        # partitions keep max_candidates each, so the radius can be applied after
+        return flat_topk(base, queries, max_candidates, metric).where(F.col("dist") <= epsilon)
+    measure, rows = distance(metric).matrix, base.where(F.col("vec").isNotNull()).select("id", "vec")
+    found = rows.sparkSession.createDataFrame([], "qid long, id long, dist double")
+    for qids, q in query_blocks(queries, block):
+
+        def run(batches: Iterator[pa.RecordBatch], qids=qids, q=q) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    dist = measure(q, matrix(batch.column(1)).astype(np.float64))
+                    i, j = np.nonzero(dist <= epsilon)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[i], pa.int64()), batch.column(0).take(pa.array(j)), pa.array(dist[i, j])], names=["qid", "id", "dist"])
+
+        found = found.union(rows.mapInArrow(run, "qid long, id long, dist double"))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "id")).cast("long"))
 
 
 def document_search(base: DataFrame, queries: DataFrame, num_docs: int, metric: str | Distance = "l2", block: int = QUERY_BLOCK) -> DataFrame:

@@ -96,7 +96,10 @@ PQ_CODES = (
 LUT = f"lut AS (SELECT qid, m, k, list_inner_product({PART.format('qv')}, w) AS x FROM q, book)"
 
 
-def shortlist(pairs: str, keep: int, score: str = "sum(x)", more: str = "") -> str:
+SHARE, SHARE_OF_PART = (f"(SELECT greatest({q.K}, count(*) // {q.SHORT_SHARE * n}) FROM base)" for n in (1, q.PARTS))
+
+
+def shortlist(pairs: str, keep: str, score: str = "sum(x)", more: str = "") -> str:
     """short: the ``keep`` best of each qid by the table score over the codes of (qid, id) in ``pairs``."""
     return (
         f"short AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid{more} ORDER BY dist, id) AS r FROM "
@@ -110,24 +113,28 @@ PAIRS = "pairs AS (SELECT qid, id, cid FROM probes JOIN lists USING (cid))"
 S, N = q.RESIDUAL_SAMPLES, "(SELECT count(*) FROM base)"
 
 
+RSUB = q.DIM // q.RESIDUAL_M
+RPART = "{0}[m * " + str(RSUB) + " + 1 : m * " + str(RSUB) + " + " + str(RSUB) + "]"
+
+
 def residual(iterations: int) -> list[str]:
     gap = "list_sum(list_transform(list_zip(r.x, w.w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
     out = [
         f"res AS (SELECT b.id, l.cid, list_transform(list_zip(b.v, c.cv), lambda p: p[1] - p[2]) AS r FROM base b JOIN lists l USING (id) JOIN c{T} c USING (cid))",
-        f"samples AS (SELECT i, m, {PART.format('res.r')} AS x FROM (SELECT unnest(range({S})) AS i) JOIN res ON res.id = (i * 9973 + 123) % {N}, (SELECT unnest(range({M})) AS m))",
-        f"w0 AS (SELECT m, k, x AS w FROM (SELECT unnest(range({KS})) AS k) JOIN samples ON i = k % {S})",
+        f"samples AS (SELECT i, m, {RPART.format('res.r')} AS x FROM (SELECT unnest(range({S})) AS i) JOIN res ON res.id = (i * 9973 + 123) % {N}, (SELECT unnest(range({q.RESIDUAL_M})) AS m))",
+        f"w0 AS (SELECT m, k, x AS w FROM (SELECT unnest(range({q.RESIDUAL_KS})) AS k) JOIN samples ON i = k % {S})",
     ]
     for t in range(iterations):
         out.append(f"n{t} AS (SELECT * FROM (SELECT r.i, r.m, r.x, w.k, row_number() OVER (PARTITION BY r.i, r.m ORDER BY {gap}, w.k) AS o FROM samples r JOIN w{t} w USING (m)) WHERE o = 1)")
         out.append(
             f"w{t + 1} AS (SELECT o.m, o.k, coalesce(n.w, o.w) AS w FROM w{t} o LEFT JOIN (SELECT m, k, list(a ORDER BY d) AS w FROM "
-            f"(SELECT m, k, d, avg(x[d]) AS a FROM n{t}, (SELECT unnest(range(1, {SUB + 1})) AS d) GROUP BY m, k, d) GROUP BY m, k) n USING (m, k))"
+            f"(SELECT m, k, d, avg(x[d]) AS a FROM n{t}, (SELECT unnest(range(1, {RSUB + 1})) AS d) GROUP BY m, k, d) GROUP BY m, k) n USING (m, k))"
         )
     out.append(
         "pqcodes AS (SELECT id, m, k FROM (SELECT r.id, r.m, w.k, row_number() OVER (PARTITION BY r.id, r.m ORDER BY "
-        f"{gap}, w.k) AS o FROM (SELECT id, m, {PART.format('r')} AS x FROM res, (SELECT unnest(range({M})) AS m)) r JOIN w{iterations} w USING (m)) WHERE o = 1)"
+        f"{gap}, w.k) AS o FROM (SELECT id, m, {RPART.format('r')} AS x FROM res, (SELECT unnest(range({q.RESIDUAL_M})) AS m)) r JOIN w{iterations} w USING (m)) WHERE o = 1)"
     )
-    out.append(f"lut AS (SELECT qid, m, k, list_inner_product({PART.format('qv')}, w) AS x FROM q, w{iterations})")
+    out.append(f"lut AS (SELECT qid, m, k, list_inner_product({RPART.format('qv')}, w) AS x FROM q, w{iterations})")
     return out
 
 
@@ -194,7 +201,7 @@ ORACLES: dict[str, str] = {
         final=top(all_pairs(L2)),
     ),
     "flat_filtered_topk": sql(BASE, final=top(all_pairs(L2, "label < 5"))),
-    "epsilon_search": sql(BASE, final=top(all_pairs(L2), 100, "AND dist <= 1.2")),
+    "epsilon_search": sql(BASE, final=top(all_pairs(L2), 1 << 62, "AND dist <= 1.2")),
     "multivector_docs": sql(
         *DOCS,
         final="SELECT p.qid, p.doc_id, p.id, row_number() OVER (PARTITION BY p.qid ORDER BY p.dist, p.id) AS rank, round(p.dist, 4) + 0.0 AS dist FROM pairs p "
@@ -235,12 +242,12 @@ ORACLES: dict[str, str] = {
     "pq_codebook": sql(BASE, BOOK, final=f"SELECT m, k, d AS dim, round(w[d + 1], 6) AS value FROM book, (SELECT unnest(range({SUB})) AS d)"),
     "pq_encode": sql(BASE, BOOK, PQ_CODES, final="SELECT id, string_agg(k::VARCHAR, ',' ORDER BY m) AS code FROM pqcodes GROUP BY id"),
     "pq_lut": sql(BASE, BOOK, LUT, final=f"SELECT qid, m * {KS} + k AS at, round(x, 6) AS value FROM lut"),
-    "pq_search": sql(BASE, BOOK, PQ_CODES, LUT, shortlist("SELECT qid, id FROM q, base", q.PQ_NPROBE), final=top(RERANKED)),
-    "ivfpq_search": sql(*FIXED, BOOK, PQ_CODES, LUT, PAIRS, shortlist("SELECT qid, id FROM pairs", q.RERANK), final=top(RERANKED)),
+    "pq_search": sql(BASE, BOOK, PQ_CODES, LUT, shortlist("SELECT qid, id FROM q, base", SHARE), final=top(RERANKED)),
+    "ivfpq_search": sql(*FIXED, BOOK, PQ_CODES, LUT, PAIRS, shortlist("SELECT qid, id FROM pairs", SHARE), final=top(RERANKED)),
     "ivfpq_residual_search": sql(*RESIDUAL, final=top(RESIDUAL_DIST)),
     "ivfpq_rerank": sql(
         *RESIDUAL,
-        f"short AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS r FROM ({RESIDUAL_DIST})) WHERE r <= {q.RERANK})",
+        f"short AS (SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS r FROM ({RESIDUAL_DIST})) WHERE r <= {SHARE})",
         final=top(RERANKED),
     ),
     "partition_block": sql(BASE, BLOCKS, final="SELECT id, part FROM parted"),
@@ -249,12 +256,13 @@ ORACLES: dict[str, str] = {
     "partition_stats": sql(BASE, final=f"SELECT part, count(*) AS n FROM ({hash_owner()}) GROUP BY part"),
     "partition_centroids": sql(BASE, BLOCKS, final=f"SELECT part, d AS dim, round(avg(v[d + 1]), 6) AS value FROM parted, (SELECT unnest(range({q.DIM})) AS d) GROUP BY part, d"),
     "dist_ivfpq_topk": sql(
-        *FIXED, BOOK, PQ_CODES, LUT, PAIRS, BLOCKS, shortlist("SELECT qid, id, part FROM pairs JOIN parted USING (id)", 12, more=", part"), final=top(RERANKED)
+        *FIXED, BOOK, PQ_CODES, LUT, PAIRS, BLOCKS, shortlist("SELECT qid, id, part FROM pairs JOIN parted USING (id)", SHARE_OF_PART, more=", part"), final=top(RERANKED)
     ),
     "fbin_scan": sql(BASE, final=f"SELECT id, d AS dim, round(v[d + 1], 6) AS value FROM base, (SELECT unnest(range({q.DIM})) AS d)"),
     "delete_then_search": sql(BASE, final=top(all_pairs(L2, "id NOT IN (0, 20, 40)"))),
     "upsert_then_search": sql(BASE, final=top("SELECT qid, id, 1 - list_inner_product(qv, CASE WHEN label = 0 THEN list_transform(v, lambda x: -x) ELSE v END) AS dist FROM q, base")),
     "hnsw_exhaustive_ef": sql(BASE, final=top(all_pairs(IP))),
+    "search_recall": " UNION ALL ".join(f"SELECT '{x}' AS name, true AS reached" for x in q.RECALLED),
     "hnsw_integrity": "SELECT ''::VARCHAR AS part, 0::BIGINT AS node, ''::VARCHAR AS problem WHERE false",
 }
 ORACLES |= {"hnsw_filtered": ORACLES["flat_filtered_topk"], "hnsw_epsilon": ORACLES["epsilon_search"], "hnsw_documents": ORACLES["multivector_docs"]}

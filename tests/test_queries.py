@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 from lodestar.plans.oracles import ORACLES
-from lodestar.plans.queries import QUERIES
+from lodestar.plans.queries import LEAST_RECALL, QUERIES, RECALLED
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,13 +32,13 @@ def test_same_rows(spark, db, name):
     assert sorted(map(tuple, df.select(*columns).collect()), key=repr) == want
 
 
-@pytest.mark.parametrize("name", ["hnsw_knn", "partition_hnsw", "ivf_hnsw", "hnsw_on_hnsw", "ivf_hnsw_on_hnsw"])
-def test_graph_recall(spark, name):
-    exact = "ivf_search_fixed" if name == "ivf_hnsw" else "flat_ip_topk"
-    truth = {(r["qid"], r["id"]) for r in QUERIES[exact](spark, SF).collect()}
-    got = {(r["qid"], r["id"]) for r in QUERIES[name](spark, SF).collect()}
-    least = {"hnsw_knn": 0.95, "partition_hnsw": 0.95, "ivf_hnsw": 0.95}.get(name, 0.35)
-    assert len(got & truth) / len(truth) >= least
+@pytest.mark.parametrize("name", RECALLED)
+def test_recall(spark, name):
+    """Searches that aren't exact, at their ordinary settings, against exact search."""
+    sf = "/root/testdata/sf0.1"
+    truth = {(r["qid"], r["id"]) for r in QUERIES["flat_ip_topk"](spark, sf).collect()}
+    got = {(r["qid"], r["id"]) for r in QUERIES[name](spark, sf).collect()}
+    assert len(got & truth) / len(truth) >= LEAST_RECALL
 
 
 def test_entry_points(spark):
