@@ -84,13 +84,14 @@ def adaptive_probe(queries: DataFrame, centroids: np.ndarray, min_nprobe: int, m
 
 def _probed(probes: DataFrame, qids: np.ndarray) -> dict[int, np.ndarray]:
     """For each list the indices of the block's queries that probe it; block x nprobe rows at most."""
-    place = {int(q): i for i, q in enumerate(qids)}
-    rows = probes.where(F.col("qid").between(int(qids[0]), int(qids[-1]))).select("qid", "cid").collect()
-    lists: dict[int, list[int]] = {}
-    for r in rows:
-        if r["qid"] in place:
-            lists.setdefault(r["cid"], []).append(place[r["qid"]])
-    return {c: np.array(sorted(q)) for c, q in lists.items()}
+    rows = probes.where(F.col("qid").between(int(qids[0]), int(qids[-1]))).select("qid", "cid").toArrow()
+    own, cid = np.asarray(rows.column("qid")), np.asarray(rows.column("cid"))
+    at = np.minimum(np.searchsorted(qids, own), len(qids) - 1)
+    known = qids[at] == own
+    order = np.lexsort((at[known], cid[known]))
+    at, cid = at[known][order], cid[known][order]
+    lists, first = np.unique(cid, return_index=True)
+    return dict(zip(lists.tolist(), np.split(at, first[1:]), strict=True)) if len(lists) else {}
 
 
 def ivf_search(index: InvertedLists, queries: DataFrame, probes: DataFrame, k: int, metric: str = "ip", block: int = QUERY_BLOCK) -> DataFrame:

@@ -34,10 +34,17 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(qids, matrix) in order of qid."""
-    ids: list = []
-    vectors: list = []
-    for r in queries.select("qid", "qvec").where(F.col("qvec").isNotNull()).orderBy("qid").toLocalIterator():
+    """(qids, matrix) in order of qid. Queries that fit one block come as Arrow in one go, more are streamed."""
+    known = queries.select("qid", "qvec").where(F.col("qvec").isNotNull())
+    head = known.limit(block + 1).toArrow()
+    if head.num_rows <= block:
+        if head.num_rows:
+            ids = np.asarray(head.column("qid"))
+            order = np.argsort(ids, kind="stable")
+            yield ids[order], matrix(head.column("qvec")).astype(np.float64)[order]
+        return
+    ids, vectors = [], []
+    for r in known.orderBy("qid").toLocalIterator():
         ids.append(r["qid"])
         vectors.append(r["qvec"])
         if len(ids) == block:
