@@ -35,9 +35,9 @@ ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 #: Chunks that the library takes in one go.
 AT_ONCE = 4_096
 #: Characters of distinct chunks that a worker keeps; beyond, it starts anew.
-KEPT_CHARS = 6_000_000
+KEPT_CHARS = 2_000_000
 #: Bytes of text whose distinct pieces share one pair index.
-INDEX_BYTES = 8_000_000
+INDEX_BYTES = 1_500_000
 
 
 @contextmanager

@@ -55,7 +55,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = ROUND_CHARS) -> Iterator[tuple[int, pa.Array]]:
     """(first row, texts) of consecutive slices with about ``limit`` bytes of text each, one row at least; null is ''."""
-    texts = pc.fill_null(batch.column(column), "")
+    texts = batch.column(column)
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
     ends = np.cumsum(np.asarray(pc.binary_length(texts), dtype=np.int64))
     at = 0
     while at < len(ends):

@@ -33,7 +33,7 @@ from lodestar.llm.bpe import AT_ONCE, ODD, ChunkMemo
 from lodestar.llm.common import slices, shuffle_partitions, tidy
 
 #: Bytes of text that are encoded at once.
-ENCODE_BYTES = 16_000_000
+ENCODE_BYTES = 8_000_000
 
 
 def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
