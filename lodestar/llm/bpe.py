@@ -86,6 +86,9 @@ class ChunkMemo:
     chunks, numpy lays their ids out; only distinct chunks become Python strings.
     """
 
+    #: Characters of distinct chunks that are kept; beyond, it starts anew.
+    kept_chars = KEPT_CHARS
+
     def __init__(self) -> None:
         self.forget()
 
@@ -98,7 +101,7 @@ class ChunkMemo:
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts as 32-bit integers, and where each text's begin, with the end of the last."""
-        if self.kept > KEPT_CHARS:
+        if self.kept > self.kept_chars:
             self.forget()
         lists = pc.ascii_split_whitespace(texts)
         chunks = lists.flatten().dictionary_encode()

@@ -33,7 +33,7 @@ from lodestar.llm.bpe import AT_ONCE, ODD, ChunkMemo
 from lodestar.llm.common import slices, shuffle_partitions, tidy
 
 #: Bytes of text that are encoded at once.
-ENCODE_BYTES = 8_000_000
+ENCODE_BYTES = 16_000_000
 
 
 def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -49,6 +49,8 @@ class LibraryBPE(ChunkMemo):
     stand for; where these don't add up to the chunks' own, each chunk is encoded alone.
     """
 
+    kept_chars = 8_000_000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
