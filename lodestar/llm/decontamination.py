@@ -6,8 +6,10 @@ rarity. A document contains a window only if it contains all its shingles, so th
 is one shingle, the rarest. Documents' shingles join these, the length and position bounds of
 window and document are applied, and what is left is verified word by word.
 
-The windows are broadcast in blocks of at most BLOCK_WINDOWS; a larger benchmark takes one pass over
-the documents for each block. What is shuffled is one small row for each document.
+The windows are broadcast in blocks of about BLOCK_WINDOWS and BLOCK_BYTES at most; a larger benchmark
+takes one pass over the documents for each block. What is shuffled is one small row for each document.
+Which items have a window stays out of the broadcast, as thousands may share one: the ids of a
+document's windows join them afterwards.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import shared_dir, written
 
 WINDOW, SHINGLE = 10, 3
-#: Windows that are broadcast at once; one takes about 300 bytes.
-BLOCK_WINDOWS = 100_000
+#: Windows that are broadcast at once, and bytes of their words.
+BLOCK_WINDOWS, BLOCK_BYTES = 100_000, 32 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -36,13 +38,13 @@ def _shingle(words: Column, at: Column, width: int) -> Column:
     return F.xxhash64(F.lit(width), *(F.get(words, at + k) for k in range(width)))
 
 
-def _windows(items: DataFrame) -> DataFrame:
-    """(wid, window, items): each distinct window with the ids of the items that have it."""
+def _item_windows(items: DataFrame) -> DataFrame:
+    """(wid, window, item): a row for each window of each item."""
     words = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), plain_words(F.col("text")).alias("words"))
     size = F.least(F.lit(WINDOW), F.size("words"))
     starts = words.where(F.size("words") > 0).select("item", "words", size.alias("size"), F.explode(F.sequence(F.lit(1), F.size("words") - size + 1)).alias("start"))
     windows = starts.select("item", F.slice("words", F.col("start"), F.col("size")).alias("window"))
-    return windows.groupBy("window").agg(F.collect_set("item").alias("items")).withColumn("wid", F.md5(F.array_join("window", " ").cast("binary")))
+    return windows.select(F.md5(F.array_join("window", " ").cast("binary")).alias("wid"), "window", "item")
 
 
 def _window_shingles(windows: DataFrame, width: int) -> DataFrame:
@@ -68,12 +70,17 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     stay apart, and of items with the same text each is named. Other columns aren't read.
     """
     found, folder = None, shared_dir(docs.sparkSession)
-    # the row number keeps repeated doc_ids apart; it is taken on the scan, so it is the same when a task runs again
+    owners = _item_windows(items)
+    windows = owners.select("wid", "window").distinct()
+    widths = windows.groupBy(F.least(F.lit(SHINGLE), F.size("window")).alias("width"))
+    sizes = widths.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("window", " "))).alias("bytes")).collect()
+    blocks = max(1, -(-sum(r["n"] for r in sizes) // BLOCK_WINDOWS), -(-sum(r["bytes"] for r in sizes) // BLOCK_BYTES))
+    widths = sorted(r["width"] for r in sizes) or [SHINGLE]
+    # the row number keeps repeated doc_ids apart
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if blocks > 1:  # all passes must see the same numbers
+        rows = written(rows, folder, "rows")
     words = rows.select("row", "doc_id", plain_words(F.col("text")).alias("words"))
-    windows = _windows(items)
-    sizes = {r["width"]: r["n"] for r in windows.groupBy(F.least(F.lit(SHINGLE), F.size("window")).alias("width")).agg(F.count("*").alias("n")).collect()}
-    widths, blocks = sorted(sizes) or [SHINGLE], max(1, -(-sum(sizes.values()) // BLOCK_WINDOWS))
     for block in range(blocks):
         mine = windows.where(F.pmod(F.xxhash64("wid"), F.lit(blocks)) == block)
         shingles = reduce(DataFrame.union, (_window_shingles(mine, w) for w in widths))
@@ -85,13 +92,13 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
             F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "offset")).alias("rarest")
         )
         prefix = mine.join(ordered, "wid").select(
-            F.col("rarest.shingle").alias("shingle"), F.col("rarest.offset").alias("offset"), "window", "items"
+            F.col("rarest.shingle").alias("shingle"), F.col("rarest.offset").alias("offset"), "window", "wid"
         )
         itself = docs.sparkSession.range(1).select(
             F.lit(0).cast("long").alias("shingle"),
             F.lit(-1).alias("offset"),
             F.array().cast("array<string>").alias("window"),
-            F.array().cast("array<string>").alias("items"),
+            F.lit(None).cast("string").alias("wid"),
         )
         placed = _document_shingles(words, widths).join(F.broadcast(prefix.union(itself)), "shingle")
         start = F.col("at") - F.col("offset")
@@ -99,18 +106,18 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
         fits = (F.col("at") >= 0) & (size > 0) & (start >= 0) & (start + size <= F.col("n_words"))
         stands = F.when(fits, F.slice("words", start + 1, size) == F.col("window")).otherwise(F.lit(False))
         hits = placed.where(stands | ((F.col("at") < 0) & (size == 0))).select(
-            "row", "doc_id", "n_words", F.when(size > 0, F.struct(start.alias("start"), (start + size).alias("end"))).alias("span"), "items"
+            "row", "doc_id", "n_words", F.when(size > 0, F.struct(start.alias("start"), (start + size).alias("end"))).alias("span"), "wid"
         )
         found = hits if found is None else found.union(hits)
-    return (
-        found.groupBy("row", "doc_id")
-        .agg(F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("items").alias("items"))
-        .select(
-            "doc_id",
-            F.col("n_words").cast("long").alias("n_words"),
-            F.array_sort("spans").alias("spans"),
-            F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"),
-        )
+    found = found.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("wid").alias("wids"))
+    found = written(found, folder, "found")
+    named = found.select("row", F.explode("wids").alias("wid")).join(owners.select("wid", "item").distinct(), "wid")
+    named = named.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return found.join(named, "row", "left").select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        F.array_sort("spans").alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
 
 
