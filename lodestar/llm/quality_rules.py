@@ -26,9 +26,13 @@ _W1, _W2, _W3 = (np.uint64(x) for x in np.random.default_rng(11).integers(1, 1 <
 
 
 def _vector(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.bincount(found, minlength=1 << BITS)
-    at = np.flatnonzero(counts)
-    values = np.sqrt(counts[at])
+    if len(found) < 1 << (BITS - 1):
+        at, counts = np.unique(found, return_counts=True)
+    else:  # as many as there are buckets: counting them all takes less than sorting
+        counts = np.bincount(found, minlength=1 << BITS)
+        at = np.flatnonzero(counts)
+        counts = counts[at]
+    values = np.sqrt(counts)
     return at, values / max(1e-9, float(np.sqrt(values @ values)))
 
 
