@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 MODES = ("cyclic", "block", "hash")
 
@@ -74,11 +73,5 @@ def with_part(base: DataFrame, parts: int, mode: str = "block", n: int | None =
     return base.withColumn("part", owner.cast("long"))
 
 
-def shortlist_by_part(scored: DataFrame, nprobe: int) -> DataFrame:
-    """The ``nprobe`` best of each query and part of (qid, part, id, dist)."""
-    window = Window.partitionBy("qid", "part").orderBy("dist", "id")
-    return scored.withColumn("place", F.row_number().over(window)).where(F.col("place") <= nprobe).drop("place")
-
-
 def part_stats(parted: DataFrame) -> DataFrame:
     return parted.groupBy("part").agg(F.count("*").alias("n"))

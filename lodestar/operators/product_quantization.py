@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,15 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from lodestar.operators.flat import rerank
 from lodestar.operators.ivf import InvertedLists, _probed
 from lodestar.operators.kmeans import SEED_STRIDE, take_rows
-from lodestar.operators.partition import shortlist_by_part
-from lodestar.operators.scan import QUERY_BLOCK, Scorer, matrix, query_blocks, ranked, scan_block, search
+from lodestar.operators.scan import HELD, QUERY_BLOCK, BestK, matrix, query_blocks, ranked
+from lodestar.sources.shared import shared_folder
 
 #: Added to the row number of codebook and residual samples.
 CODEBOOK_SEED, RESIDUAL_SEED = 42, 123
+#: Rows that are scored against a block of queries in one go.
+PIECE_ROWS = 1_000
+#: Bins of a pass that looks for where shortlists end, passes at most, and rows of a query at the end that are few enough, in the mean.
+BINS, PASSES, EDGE_ROWS = 256, 4, 32
 
 
 @dataclass
@@ -38,11 +43,9 @@ class Codebook:
         m, _, d = self.shape
         return np.einsum("qmd,mkd->qmk", q.reshape(len(q), m, d), self.words)
 
-    def scores(self, tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(tables), len(codes)))
-        for m in range(self.shape[0]):
-            out += tables[:, m, codes[:, m]]
-        return out
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        """The rows' codewords side by side."""
+        return self.words[np.arange(self.shape[0]), codes].reshape(len(codes), -1)
 
     def table(self, spark) -> DataFrame:
         m, ks, _ = self.shape
@@ -120,60 +123,217 @@ def lookup_tables(queries: DataFrame, book: Codebook) -> DataFrame:
     return queries.select("qid", "qvec").mapInArrow(run, "qid long, lut array<double>")
 
 
-def pq_search(base: DataFrame, codes: DataFrame, book: Codebook, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
-    """The ``nprobe`` rows of greatest table score, reranked by exact inner product."""
+def _pair_sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The product of each pair of rows, added up one coordinate after the other as the columns' form does: equal pairs give equal sums."""
+    out = np.zeros(len(a))
+    for x, y in zip(a.T, b.T, strict=True):
+        out += x * y
+    return out
 
-    def of(q: np.ndarray) -> Scorer:
-        tables, every = book.tables(q), np.arange(len(q))
 
-        def score(columns: dict[str, np.ndarray]):
-            yield every, np.arange(len(columns["code"])), -book.scores(tables, columns["code"])
+class _Scores:
+    """Table scores of a block of queries against batches of codes, in pieces of bounded size.
 
-        return score
+    A table score is the product of the query and the row's codewords, so a matrix product gives it but for
+    rounding, by less than ``slack``. It tells which pairs can't matter; those left are added up from the tables' products.
+    """
 
-    return rerank(search(codes.select("id", "code"), ["code"], queries, max(nprobe, k), of), base, queries, k, "ip")
+    def __init__(self, book: Codebook, q: np.ndarray, lists: dict[int, np.ndarray] | None = None, centroids: np.ndarray | None = None):
+        self.book, self.q, self.lists = book, q, lists
+        self.roots = q @ centroids.T if book.residual else None
+        longest = np.sqrt((book.words**2).sum(axis=2).max(axis=1).sum())
+        size = np.sqrt((q * q).sum(axis=1)) * longest + (0 if self.roots is None else np.abs(self.roots).max(axis=1))
+        self.slack = 1e-12 * (1 + size)
+        #: No score, negative as distances are, lies outside these.
+        self.low, self.high = -size - self.slack, size + self.slack
+
+    def pieces(self, columns: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+        """(query indices, row indices, negative scores of all their pairs, the list's own part of them) of the valid pairs."""
+        codes = columns["code"]
+        near = [(None, np.arange(len(codes)))] if self.lists is None else [(c, np.flatnonzero(columns["cid"] == c)) for c in np.unique(columns["cid"]).tolist() if c in self.lists]
+        for c, rows in near:
+            own = np.arange(len(self.q)) if c is None else self.lists[c]
+            root = None if self.roots is None else self.roots[own, c]
+            for a in range(0, len(rows), PIECE_ROWS):
+                part = rows[a : a + PIECE_ROWS]
+                score = self.q[own] @ self.book.decoded(codes[part]).T
+                yield own, part, -(score if root is None else score + root[:, None]), root
+
+    def exact(self, codes: np.ndarray, own: np.ndarray, part: np.ndarray, root: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The table scores of the pairs (own[i], part[j])."""
+        m, _, size = self.book.shape
+        q, code, out = self.q[own[i]], codes[part[j]], np.zeros(len(i))
+        for x in range(m):
+            out += _pair_sums(q[:, x * size : (x + 1) * size], self.book.words[x, code[:, x]])
+        return out if root is None else out + root[i]
+
+
+class _Least(BestK):
+    """The k least of pairs, of which only those are looked at that aren't beyond the k so far."""
+
+    def __init__(self, k: int, n_queries: int, slack: np.ndarray):
+        super().__init__(k)
+        self.worst, self.slack = np.full(n_queries, np.inf), slack
+
+    def close(self, own: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        limit = self.worst[own]
+        if np.isinf(limit).any() and dist.shape[1] > self.k:
+            limit = np.minimum(limit, np.partition(dist, self.k - 1, axis=1)[:, self.k - 1])
+        return np.nonzero((dist <= (limit + self.slack[own])[:, None]) & (dist < np.inf))
+
+    def take(self, q: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        self.parts.append((q, ids, dist))
+        self.held += len(q)
+        if self.held > min(HELD, 8 * self.k * len(self.worst)) or np.isinf(self.worst).any():
+            own, _, dist = self.parts[0] = self.best()
+            del self.parts[1:]
+            self.held = len(own)
+            last = np.flatnonzero(np.diff(np.append(own, -1)))
+            full = last[np.diff(np.append(-1, last)) == self.k]
+            self.worst[own[full]] = dist[full]
+
+
+def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {n: matrix(c) if n in ("vec", "code") else c.to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+
+
+def _blocks(rows: DataFrame, book: Codebook, queries: DataFrame, probes: DataFrame | None, centroids: np.ndarray | None) -> Iterator[tuple[np.ndarray, _Scores, DataFrame]]:
+    """For each block of queries their scores, and the rows without lists that none of them probes."""
+    for qids, q in query_blocks(queries, QUERY_BLOCK):
+        lists = None if probes is None else _probed(probes, qids)
+        yield qids, _Scores(book, q, lists, centroids), rows if lists is None else rows.where(F.col("cid").isin(sorted(lists)))
 
 
 def _scan_lists(coded: DataFrame, book: Codebook, centroids: np.ndarray, queries: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     """(qid, id, dist), the best k of each partition: 1 less the table score of the rows of probed lists."""
     found = None
-    for qids, q in query_blocks(queries, QUERY_BLOCK):
-        lists, tables = _probed(probes, qids), book.tables(q)
-        roots = q @ centroids.T
-
-        def score(columns: dict[str, np.ndarray], lists=lists, tables=tables, roots=roots):
-            for c in np.unique(columns["cid"]).tolist():
-                if c in lists:
-                    rows, own = np.flatnonzero(columns["cid"] == c), lists[c]
-                    s = book.scores(tables[own], columns["code"][rows])
-                    yield own, rows, 1 - (s + roots[own, c][:, None] if book.residual else s)
-
-        rows = coded.where(F.col("cid").isin(sorted(lists))).select("id", "code", "cid")
-        part = scan_block(rows, ["code"], qids, k, score)
+    for qids, scores, rows in _blocks(coded.select("id", "code", "cid"), book, queries, probes, centroids):
+
+        def run(batches: Iterator[pa.RecordBatch], qids=qids, scores=scores) -> Iterator[pa.RecordBatch]:
+            best = _Least(k, len(qids), scores.slack)
+            for columns in (_columns(b) for b in batches if b.num_rows):
+                for own, part, dist, root in scores.pieces(columns):
+                    i, j = best.close(own, 1 + dist)
+                    best.take(own[i], columns["id"][part[j]], 1 - scores.exact(columns["code"], own, part, root, i, j))
+            q, ids, dist = best.best()
+            yield pa.RecordBatch.from_arrays([pa.array(qids[q], pa.int64()), pa.array(ids, pa.int64()), pa.array(dist, pa.float64())], names=["qid", "id", "dist"])
+
+        part = rows.mapInArrow(run, "qid long, id long, dist double")
         found = part if found is None else found.union(part)
     return found
 
 
+def _edges(rows: DataFrame, scores: _Scores, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query an interval of negative scores in which its ``keep``-th row lies (infinite if it has no more rows).
+
+    A pass counts rows by BINS bins of the interval, and the bin that the row is in is the next interval. Only
+    counts leave a task, BINS for each query at most.
+    """
+    n, low, high = len(scores.q), scores.low.copy(), scores.high.copy()
+    for step in range(PASSES):
+        scale = BINS / (high - low)
+        scale[~np.isfinite(low)] = 1.0
+
+        def run(batches: Iterator[pa.RecordBatch], low=low, scale=scale) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros((n, BINS + 2), dtype=np.int64)
+            for columns in (_columns(b) for b in batches if b.num_rows):
+                for own, _, score, _ in scores.pieces(columns):
+                    at = np.clip(np.floor((score - low[own, None]) * scale[own, None]), -1, BINS).astype(np.int64) + 1
+                    at += np.arange(len(own))[:, None] * (BINS + 2)
+                    counts[own] += np.bincount(at.ravel(), minlength=len(own) * (BINS + 2)).reshape(len(own), -1)
+            i, b = np.nonzero(counts[:, :-1])
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(b), pa.array(counts[i, b])], names=["i", "bin", "n"])
+
+        found = rows.mapInArrow(run, "i long, bin long, n long").groupBy("i", "bin").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros((n, BINS + 1), dtype=np.int64)
+        counts[np.asarray(found.column("i")), np.asarray(found.column("bin"))] = np.asarray(found.column("n"))
+        before = counts.cumsum(axis=1)
+        at = np.minimum((before < keep).sum(axis=1), BINS)  # rounding may put the row just outside
+        width = (high - low) / BINS
+        if step == 0:
+            low[before[:, -1] <= keep] = high[before[:, -1] <= keep] = np.inf
+        known = np.isfinite(low)
+        low[known] += (np.maximum(at, 1) - 1)[known] * width[known]
+        high[known] = low[known] + width[known]
+        if counts[np.arange(n), at][known].sum() <= EDGE_ROWS * max(1, known.sum()):
+            break
+    return low, high
+
+
+def _reranked(rows: DataFrame, book: Codebook, queries: DataFrame, k: int, keep: int, probes: DataFrame | None = None, centroids: np.ndarray | None = None) -> DataFrame:
+    """(qid, id, dist): the k best by exact product of the ``keep`` rows of greatest table score, ties by id.
+
+    ``rows(id, vec, code, cid)``; without ``probes`` all are scored. A shortlist is a share of the table, so it's never
+    listed: passes over the scores find where it ends, and the last one scores exactly, where they lie, the
+    rows before that. It gives k rows of each query and task, how many rows were before the end, and the few rows at it.
+    """
+    names, found = ["id", "vec", "code", *(["cid"] if probes is not None else [])], None
+    for qids, scores, own_rows in _blocks(rows.select(*names), book, queries, probes, centroids):
+        low, high = _edges(own_rows, scores, keep)
+
+        def run(batches: Iterator[pa.RecordBatch], qids=qids, scores=scores, low=low, high=high) -> Iterator[pa.RecordBatch]:
+            q, before = scores.q, np.zeros(len(qids), dtype=np.int64)
+            best = _Least(k, len(qids), 1e-12 * (1 + np.abs(q).sum(axis=1)))
+
+            def frame(own: np.ndarray, ids: np.ndarray, dist: np.ndarray, score: np.ndarray | None = None) -> pa.RecordBatch:
+                edge = pa.nulls(len(own), pa.float64()) if score is None else pa.array(score)
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(qids[own], pa.int64()), pa.array(ids, pa.int64()), pa.array(dist, pa.float64()), edge, pa.array(np.zeros(len(own), np.int64))], names=["qid", "id", "dist", "edge", "n"]
+                )
+
+            for columns in (_columns(b) for b in batches if b.num_rows):
+                ids, vec = columns["id"], columns["vec"].astype(np.float64)
+                for own, part, score, root in scores.pieces(columns):
+                    sure = score < (low - scores.slack)[own, None]
+                    before[own] += sure.sum(axis=1)
+                    i, j = best.close(own, np.where(sure, 1 - q[own] @ vec[part].T, np.inf))
+                    best.take(own[i], ids[part[j]], 1 - _pair_sums(q[own[i]], vec[part[j]]))
+                    i, j = np.nonzero(~sure & (score <= (high + scores.slack)[own, None]))
+                    if len(i):
+                        yield frame(own[i], ids[part[j]], 1 - _pair_sums(q[own[i]], vec[part[j]]), -scores.exact(columns["code"], own, part, root, i, j))
+            yield frame(*best.best())
+            yield pa.RecordBatch.from_arrays([pa.array(qids, pa.int64()), *(pa.nulls(len(qids), t) for t in (pa.int64(), pa.float64(), pa.float64())), pa.array(before)], names=["qid", "id", "dist", "edge", "n"])
+
+        part = own_rows.mapInArrow(run, "qid long, id long, dist double, edge double, n long")
+        found = part if found is None else found.union(part)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], "qid long, id long, dist double")
+    place = F.row_number().over(Window.partitionBy("qid", F.col("edge").isNull()).orderBy("edge", "id"))
+    fits = F.col("edge").isNull() | (F.col("place") <= keep - F.col("before"))
+    placed = found.withColumn("before", F.sum("n").over(Window.partitionBy("qid"))).withColumn("place", place)
+    return placed.where(F.col("id").isNotNull() & fits).select("qid", "id", "dist")
+
+
+def _with_vectors(codes: DataFrame, base: DataFrame) -> DataFrame:
+    """``codes`` with the rows' vectors, written once for all passes over them."""
+    spark = codes.sparkSession
+    path = shared_folder(spark, "codes")
+    vectors = base.where(F.col("vec").isNotNull()).select("id", "vec")
+    codes.drop("vec").join(vectors, "id").repartition(2 * spark.sparkContext.defaultParallelism, "id").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def pq_search(base: DataFrame, codes: DataFrame, book: Codebook, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
+    """The ``nprobe`` rows of greatest table score, reranked by exact inner product."""
+    return ranked(_reranked(_with_vectors(codes.select("id", "code"), base), book, queries, k, max(nprobe, k)), k)
+
+
 def ivfpq_search(index: InvertedLists, coded: DataFrame, book: Codebook, queries: DataFrame, probes: DataFrame, k: int, rerank_r: int | None) -> DataFrame:
     """Table scores over the probed lists; the best ``rerank_r`` (at least k) are reranked exactly, or with
     None the scores stand. ``coded(id, cid, code)``."""
     if rerank_r is None:
         return ranked(_scan_lists(coded, book, index.centroids, queries, probes, k), k)
-    keep = max(rerank_r, k)
-    shortlist = ranked(_scan_lists(coded, book, index.centroids, queries, probes, keep), keep)
-    return rerank(shortlist, index.assigned, queries, k, "ip")
+    rows = _with_vectors(coded.select("id", "cid", "code"), index.assigned)
+    return ranked(_reranked(rows, book, queries, k, max(rerank_r, k), probes, index.centroids), k)
 
 
 def ivfpq_search_by_part(index: InvertedLists, coded: DataFrame, book: Codebook, queries: DataFrame, probes: DataFrame, k: int, nprobe: int) -> DataFrame:
     """Each part of ``coded(id, cid, code, part)`` makes a shortlist of ``nprobe`` (at least k) of its own;
     all are reranked and merged, so the result depends on the parts."""
-    keep, found = max(nprobe, k), None
-    parts = sorted(r["part"] for r in coded.select("part").distinct().collect())
-    for p in parts:
-        scored = _scan_lists(coded.where(F.col("part") == p), book, index.centroids, queries, probes, keep)
-        one = shortlist_by_part(scored.withColumn("part", F.lit(p)), keep)
-        found = one if found is None else found.union(one)
-    return rerank(found, index.assigned, queries, k, "ip")
+    rows = _with_vectors(coded.select("id", "cid", "code", "part"), index.assigned)
+    parts = sorted(r["part"] for r in rows.select("part").distinct().collect())
+    found = [_reranked(rows.where(F.col("part") == p), book, queries, k, max(nprobe, k), probes, index.centroids) for p in parts]
+    return ranked(reduce(DataFrame.union, found), k)
 
 
 def train_residual_codebook(index: InvertedLists, m: int, ks: int, samples: int, iterations: int = 6) -> Codebook:
