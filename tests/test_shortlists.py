@@ -58,3 +58,17 @@ def test_a_residual_shortlist_is_reranked_where_it_lies(repeated, keep):
         probed.setdefault(r["qid"], set()).add(r["cid"])
     assert ids(found) == plain(data, book, {r["id"]: r["code"] for r in rows}, keep, {r["id"]: r["cid"] for r in rows}, index.centroids, probed)
     assert unjoined(found)
+
+
+@pytest.mark.parametrize("keep", [37, 1000])
+def test_a_sampled_shortlist_is_reranked_where_it_lies(repeated, keep):
+    data, base, queries = repeated
+    book = pq.sample_codebook(base, 4, 16)
+    codes = pq.encode_table(base, book)
+    plainly = {r["id"]: r["code"] for r in codes.collect()}
+    found = pq.pq_search(base, codes, book, queries, 5, keep)
+    assert ids(found) == plain(data, book, plainly, keep) and unjoined(found)
+    index = ivf.build_lists(base, 4, 2)
+    every = ivf.probe(queries, index.centroids, 4)
+    found = pq.ivfpq_search(index, pq.encode_table(index.assigned, book), book, queries, every, 5, keep)
+    assert ids(found) == plain(data, book, plainly, keep) and unjoined(found)
