@@ -48,11 +48,30 @@ def normalized_rows(m: np.ndarray) -> np.ndarray:
     return m / (np.sqrt((m * m).sum(axis=-1, keepdims=True)) + TINY)
 
 
+#: Matrix products add up the last rows of a matrix in another order, unless their number is a multiple of this.
+FULL_ROWS = 64
+
+
+def _products(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """q @ b.T where equal rows of ``b`` have equal products, so that ties are ties."""
+    if more := -len(b) % FULL_ROWS:
+        return (q @ np.concatenate((b, np.zeros((more, b.shape[1]), b.dtype))).T)[:, : len(b)]
+    return q @ b.T
+
+
+#: Differences that are held at once: they stay in a core's cache.
+HELD_GAPS = 1 << 16
+
+
 def _l2_matrix(q: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.empty((len(q), len(b)))
-    for i, row in enumerate(q):  # differences, not the expanded square, which cancels for close vectors
-        gap = b - row
-        out[i] = np.einsum("ij,ij->i", gap, gap)
+    rows = max(1, HELD_GAPS // max(1, q.shape[1]))
+    for a in range(0, len(b), rows):
+        near = b[a : a + rows]
+        together = max(1, rows // len(near))
+        for i in range(0, len(q), together):  # differences, not the expanded square, which cancels for close vectors
+            gap = near[None] - q[i : i + together, None]
+            out[i : i + together, a : a + rows] = np.einsum("qij,qij->qi", gap, gap)
     return out
 
 
@@ -81,9 +100,9 @@ def distance(metric: str | Distance) -> Distance:
     return _known[metric]
 
 
-register_distance("ip", lambda q, b: 1 - dot(q, b), lambda q, b: 1 - q @ b.T)
+register_distance("ip", lambda q, b: 1 - dot(q, b), lambda q, b: 1 - _products(q, b))
 register_distance("l2", squared_l2, _l2_matrix)
-register_distance("cosine", lambda q, b: 1 - dot(normalized(q), normalized(b)), lambda q, b: 1 - normalized_rows(q) @ normalized_rows(b).T)
+register_distance("cosine", lambda q, b: 1 - dot(normalized(q), normalized(b)), lambda q, b: 1 - _products(normalized_rows(q), normalized_rows(b)))
 register_distance(
     "l2_int",
     integer_squared_l2,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -15,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.operators.hnsw import Collector, Documents, Graph
+from lodestar.operators.hnsw import Collector, Documents, Graph, Nearest
 from lodestar.operators.kmeans import partition_centroids
 from lodestar.operators.scan import query_blocks, ranked
+from lodestar.sources.shared import shared_folder
 
 #: Rows of one graph.
 PART_ROWS = 20_000
@@ -26,7 +28,9 @@ SCHEMA = "part string, node long, label long, level int, deleted boolean, entry
 
 def split_parts(parted: DataFrame, rows: int = PART_ROWS) -> DataFrame:
     """``parted(id, vec, part)`` with part as text, and parts of more than ``rows`` rows cut by a hash of id."""
-    sizes = parted.groupBy("part").agg(F.ceil(F.count("*") / rows).cast("int").alias("cuts"))
+    # a hash deals unevenly, so cuts are meant to be smaller by a twentieth
+    cuts = F.when(F.count("*") <= rows, 1).otherwise(F.ceil(F.count("*") * 1.05 / rows)).cast("int")
+    sizes = parted.groupBy("part").agg(cuts.alias("cuts"))
     cut = F.pmod(F.xxhash64("id"), F.col("cuts"))
     name = F.when(F.col("cuts") <= 1, F.col("part").cast("string")).otherwise(F.concat_ws(".", F.col("part").cast("string"), cut.cast("string")))
     return parted.join(sizes, "part").select("id", "vec", F.col("part").alias("group"), name.alias("part"))
@@ -42,7 +46,12 @@ def build_graphs(parted: DataFrame, dim: int, metric: str = "ip", M: int = 16, e
         g.mend()
         return _frame(rows["part"].iloc[0], g)
 
-    return parted.select("id", "vec", F.col("part").cast("string").alias("part")).groupBy("part").applyInPandas(build, SCHEMA)
+    return _dealt(parted.select("id", "vec", F.col("part").cast("string").alias("part"))).groupBy("part").applyInPandas(build, SCHEMA)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows by part, over enough tasks that few parts share one: parts cost far more than their bytes say."""
+    return rows.repartition(8 * rows.sparkSession.sparkContext.defaultParallelism, "part")
 
 
 def _frame(part: str, g: Graph) -> pd.DataFrame:
@@ -72,16 +81,22 @@ def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, dim: int, metri
             if mine:
                 g = graph_of(rows, dim, metric)
                 allowed = None if rows["allowed"].all() else set(rows.loc[rows["allowed"], "label"].tolist())
-                own = None if rule is None else rule(rows)
-                for i in mine:
-                    hits = g.search(q[i], each or k, ef, allowed) if own is None else g.search_until(q[i], own, allowed)
+                most = (each or k) if rule is None else None
+                collector = Nearest(max(ef, most)) if rule is None else rule(rows)
+                for i, hits in zip(mine, g.search_many(q[list(mine)], collector, allowed, most), strict=True):
                     out += [(int(qids[i]), int(label), float(d)) for d, label in hits]
             return pd.DataFrame(out, columns=["qid", "id", "dist"])
 
         return run
 
     found = None
-    for qids, q in query_blocks(queries):
+    blocks = query_blocks(queries)
+    head = list(islice(blocks, 2))
+    if len(head) > 1:  # else each block's search would build the graphs anew
+        path = shared_folder(graphs.sparkSession, "graphs")
+        flagged.write.parquet(path)
+        flagged = graphs.sparkSession.read.parquet(path)
+    for qids, q in chain(head, blocks):
         chosen = None
         if parts is not None:  # block x parts at most
             chosen = {}
@@ -91,7 +106,7 @@ def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, dim: int, metri
                     chosen.setdefault(str(r["part"]), []).append(place[r["qid"]])
 
         rows = flagged if chosen is None else flagged.where(F.col("part").isin(sorted(chosen)))
-        one = rows.groupBy("part").applyInPandas(searcher(qids, q, chosen), "qid long, id long, dist double")
+        one = _dealt(rows).groupBy("part").applyInPandas(searcher(qids, q, chosen), "qid long, id long, dist double")
         found = one if found is None else found.union(one)
     return ranked(found.dropDuplicates(["qid", "id"]), k)
 
