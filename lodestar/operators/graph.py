@@ -130,8 +130,12 @@ def search_cost(graphs: DataFrame, queries: DataFrame, k: int, dim: int, metric:
 
 
 def documents_rule(num_docs: int, ef: int = 10) -> Callable[[pd.DataFrame], Collector]:
-    """The collector of a search by documents over nodes that have a column ``doc_id``."""
-    return lambda rows: Documents(num_docs, dict(zip(rows["label"], rows["doc_id"], strict=True)), ef)
+    """The collector of a search by documents over nodes that have a column ``doc_id``, for ``whole_documents`` to cut.
+
+    A part gives one document more than is asked for: where the first one too many begins has to be known from the
+    part that holds it, as other parts may have vectors of the documents asked for that come after.
+    """
+    return lambda rows: Documents(num_docs + 1, dict(zip(rows["label"], rows["doc_id"], strict=True)), ef)
 
 
 def whole_documents(result: DataFrame, docs: DataFrame, num_docs: int) -> DataFrame:

@@ -46,6 +46,19 @@ def test_many_queries_find_what_each_finds(clumps, collector):
         assert [row[:4] for row in got] == g.search_many(clumps[:20], collector, few, 4)
 
 
+def test_documents_of_several_parts_are_cut_where_one_too_many_begins(spark):
+    data = np.random.default_rng(3).random((600, 8))
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, vec array<double>")
+    queries = base.where("id % 5 = 0").selectExpr("id qid", "vec qvec")
+    docs = base.select("id", F.floor(F.col("id") / 150).alias("doc_id"))
+    graphs = graph.build_graphs(graph.split_parts(base.withColumn("part", F.col("id") % 2)), 8, "l2")
+    graphs = graphs.join(docs.select(F.col("id").alias("label"), "doc_id"), "label")
+    found = graph.search_graphs(graphs, queries, 600, 8, "l2", rule=graph.documents_rule(2, 600))
+    got = {(r["qid"], r["id"], r["rank"]) for r in graph.whole_documents(found, docs, 2).collect()}
+    exact = flat.document_search(base.join(docs, "id"), queries, 2)
+    assert got == {(r["qid"], r["id"], r["rank"]) for r in exact.collect()}
+
+
 @pytest.mark.parametrize("metric", ["ip", "l2", "cosine"])
 def test_equal_vectors_are_equally_far(metric):
     """Whatever place they have in a matrix of whatever size, so that ties go by id."""
