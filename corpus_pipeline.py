@@ -23,6 +23,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Words of a shingle in the dedup stage; the four of operator 6's query are that query's own contract.
 DEDUP_WORDS = 5
+#: Ids of dropped documents that are sent to all tasks at most; more are joined by a shuffle.
+SENT_IDS = 2_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +40,12 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null doc_id can't be told apart and all stay. Null and empty texts are linked with nothing and
     stay. Of rows that are the same in every column one stays; other rows of a kept doc_id stay together.
     """
-    kept = near_duplicates(docs, width=DEDUP_WORDS).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = written(kept, shared_dir(spark), "kept_ids")
+    verdicts = near_duplicates(docs, width=DEDUP_WORDS).where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("lost_id")).agg(F.max("kept").alias("kept"))
+    lost = written(verdicts.where(~F.col("kept")).select("lost_id"), shared_dir(spark), "lost_ids")
+    lost = F.broadcast(lost) if lost.limit(SENT_IDS + 1).count() <= SENT_IDS else lost  # else all texts would be shuffled
     repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("kept_id"))
     repeated = written(repeated, shared_dir(spark), "repeated_ids")
-    found = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    found = docs.where(F.col("doc_id").isNotNull()).join(lost, docs["doc_id"] == F.col("lost_id"), "left_anti")
     if repeated.limit(1).count():
         again = found.join(repeated, found["doc_id"] == repeated["kept_id"], "left_semi").distinct()
         found = found.join(repeated, found["doc_id"] == repeated["kept_id"], "left_anti").unionAll(again)
