@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.functions.distance import Distance, distance
-from lodestar.operators.scan import QUERY_BLOCK, Scorer, matrix, query_blocks, ranked, search
+from lodestar.operators.scan import QUERY_BLOCK, SCORED_ROWS, Scorer, matrix, query_blocks, ranked, search
 
 
 def exact_scorer(metric: str | Distance):
@@ -22,7 +22,9 @@ def exact_scorer(metric: str | Distance):
 
         def score(columns: dict[str, np.ndarray]):
             b = columns["vec"].astype(np.float64)
-            yield every, np.arange(len(b)), matrix(q, b)
+            for a in range(0, len(b), SCORED_ROWS):
+                part = b[a : a + SCORED_ROWS]
+                yield every, np.arange(a, a + len(part)), matrix(q, part)
 
         return score
 

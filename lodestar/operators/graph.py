@@ -55,7 +55,9 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def _frame(part: str, g: Graph) -> pd.DataFrame:
-    out = pd.DataFrame(list(g.rows()), columns=["node", "label", "level", "deleted", "entry", "vec", "links"])
+    # arrays, as lists of numbers take four times the memory
+    rows = [(*own, g.vectors[own[0]], np.array(links, dtype=np.int64)) for *own, _, links in g.rows()]
+    out = pd.DataFrame(rows, columns=["node", "label", "level", "deleted", "entry", "vec", "links"])
     out.insert(0, "part", part)
     return out
 
@@ -64,12 +66,12 @@ def graph_of(rows: pd.DataFrame, dim: int, metric: str, **options) -> Graph:
     return Graph.of_rows(rows[["node", "label", "level", "deleted", "entry", "vec", "links"]].itertuples(index=False, name=None), dim, metric=metric, **options)
 
 
-def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, dim: int, metric: str = "ip", ef: int = 100, parts: DataFrame | None = None, where: Column | None = None, rule: Callable[[pd.DataFrame], Collector] | None = None, each: int | None = None) -> DataFrame:
+def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, dim: int, metric: str = "ip", ef: int = 100, parts: DataFrame | None = None, where: Column | None = None, rule: Callable[[pd.DataFrame], Collector] | None = None, each: int | None = None, written: bool = False) -> DataFrame:
     """(qid, id, dist, rank): every part's graph is searched for ``each`` (k if none) rows, and the best k are kept.
 
     ``parts(qid, part)`` says which parts a query searches, all if none. ``where`` is a predicate on
     the nodes' columns; nodes that don't fit are passed through. ``rule`` makes another collector from a
-    part's nodes, which may have further columns.
+    part's nodes, which may have further columns. ``written`` says that reading ``graphs`` again doesn't build them again.
     """
     flagged = graphs.withColumn("allowed", F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
 
@@ -92,7 +94,7 @@ def search_graphs(graphs: DataFrame, queries: DataFrame, k: int, dim: int, metri
     found = None
     blocks = query_blocks(queries)
     head = list(islice(blocks, 2))
-    if len(head) > 1:  # else each block's search would build the graphs anew
+    if len(head) > 1 and not written:  # else each block's search would build the graphs anew
         path = shared_folder(graphs.sparkSession, "graphs")
         flagged.write.parquet(path)
         flagged = graphs.sparkSession.read.parquet(path)

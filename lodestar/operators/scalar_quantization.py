@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators.flat import rerank
-from lodestar.operators.scan import Scorer, search
+from lodestar.operators.scan import SCORED_ROWS, Scorer, search
 
 
 def train(base: DataFrame) -> float:
@@ -45,7 +45,9 @@ def sq_search(base: DataFrame, codes: DataFrame, scale: float, queries: DataFram
 
         def score(columns: dict[str, np.ndarray]):
             code = columns["code"].astype(np.float64)  # products of bytes are exact in doubles
-            yield every, np.arange(len(code)), -(coded @ code.T)
+            for a in range(0, len(code), SCORED_ROWS):
+                part = code[a : a + SCORED_ROWS]
+                yield every, np.arange(a, a + len(part)), -(coded @ part.T)
 
         return score
 

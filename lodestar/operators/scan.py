@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 
 #: Queries of one pass over the rows.
 QUERY_BLOCK = 2_048
+#: Rows that are scored against a whole block in one go; a batch of rows would make matrices of hundreds of MB.
+SCORED_ROWS = 1_024
 #: Pairs that a task holds before it cuts them down to k for each query.
 HELD = 2_000_000
 
