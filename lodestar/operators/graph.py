@@ -44,7 +44,7 @@ def build_graphs(parted: DataFrame, dim: int, metric: str = "ip", M: int = 16, e
         for label, vec in rows.sort_values("id")[["id", "vec"]].itertuples(index=False):
             g.add(np.asarray(vec), int(label))
         g.mend()
-        return _frame(rows["part"].iloc[0], g)
+        return _frame(rows["part"].iloc[0], g, arrays=True)
 
     return _dealt(parted.select("id", "vec", F.col("part").cast("string").alias("part"))).groupBy("part").applyInPandas(build, SCHEMA)
 
@@ -54,9 +54,9 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(8 * rows.sparkSession.sparkContext.defaultParallelism, "part")
 
 
-def _frame(part: str, g: Graph) -> pd.DataFrame:
-    # arrays, as lists of numbers take four times the memory
-    rows = [(*own, g.vectors[own[0]], np.array(links, dtype=np.int64)) for *own, _, links in g.rows()]
+def _frame(part: str, g: Graph, arrays: bool = False) -> pd.DataFrame:
+    """The nodes as lists of numbers, or as arrays, which take a fraction of the memory."""
+    rows = [(*own, g.vectors[own[0]], np.array(links, dtype=np.int64)) for *own, _, links in g.rows()] if arrays else list(g.rows())
     out = pd.DataFrame(rows, columns=["node", "label", "level", "deleted", "entry", "vec", "links"])
     out.insert(0, "part", part)
     return out
